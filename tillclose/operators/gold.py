@@ -43,6 +43,18 @@ def gold_product_day(state: DataFrame) -> DataFrame:
     )
 
 
+def advance_gold(previous: DataFrame | None, state: DataFrame, dates: DataFrame, build) -> DataFrame:
+    """A gold table after a batch: the touched days are built again, the others are kept.
+
+    ``build`` is ``gold_store_day`` or ``gold_product_day``. Only rows of touched days are
+    shuffled.
+    """
+    rebuilt = build(state.join(dates, "business_date", "left_semi"))
+    if previous is None:
+        return rebuilt
+    return previous.join(dates, "business_date", "left_anti").unionByName(rebuilt)
+
+
 def table_totals(frame: DataFrame, revenue: str, units: str, lines: str | None) -> DataFrame:
     """Grand totals; ``lines`` names the column to sum, None counts the rows."""
     counted = F.count(F.lit(1)) if lines is None else F.sum(lines)

@@ -43,8 +43,8 @@ def publication_ancestry(publications: DataFrame, pointers: DataFrame) -> DataFr
 
     Chains may be long, so links double in every round: a chain of a million publications
     takes twenty joins. Each round works on unique ids, cuts its lineage, and stops when no
-    link leads further; a link still alive after as many steps as there are publications runs
-    in a circle.
+    link leads further; a link still alive after as many steps as its book has publications
+    runs in a circle.
     """
     keys = ["book_id", "publication_id"]
     links = cut(
@@ -60,11 +60,12 @@ def publication_ancestry(publications: DataFrame, pointers: DataFrame) -> DataFr
     )
     reached = pointers.select(*keys, F.lit(0).cast("bigint").alias("generation"))
     jumps = links.filter("ancestor IS NOT NULL")
-    total = links.count()
+    # No chain is longer than the number of publications of its book.
+    longest = links.groupBy("book_id").count().agg(F.max("count")).first()[0] or 0
     step = 1
     circling = None
     while not jumps.isEmpty():
-        if step > total:
+        if step > longest:
             circling = jumps.select("book_id").distinct()
             break
         further = reached.join(jumps, keys).select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tillclose.functions.contract import instant, instant_text
 from tillclose.schemas import (
+    DAILY_LIMIT,  # noqa: F401  (part of the report's limits)
     ISSUE_LIMIT,
     LISTING_LIMIT,
     MATRIX_CELLS,

@@ -116,6 +116,34 @@ def resolve_state(previous: DataFrame | None, incoming: DataFrame) -> DataFrame:
     return _first_per_key(_with_priority(previous, incoming), ITEM_KEY, order).drop("_priority")
 
 
+def new_history_rows(previous: DataFrame | None, incoming: DataFrame) -> DataFrame:
+    """What a batch adds to the history. History rows never change, so the eligible history is
+    the previous one and these rows: nothing stored has to be written again."""
+    fresh = eligible_history(None, incoming)
+    if previous is None:
+        return fresh
+    return fresh.join(previous.select(*REVISION_KEY), REVISION_KEY, "left_anti")
+
+
+def advance_state(previous_state: DataFrame | None, added: DataFrame) -> DataFrame:
+    """Current state after ``added`` joined the history, from the previous state alone: the
+    highest revision of an item is either the one it had or one that was added."""
+    if previous_state is None:
+        return current_state(added)
+    return current_state(previous_state.unionByName(added))
+
+
+def touched_dates(previous_state: DataFrame | None, state: DataFrame, added: DataFrame) -> DataFrame:
+    """Business days whose figures may differ: those of the items the batch added to, before
+    and after."""
+    keys = added.select(*ITEM_KEY).distinct()
+    now = state.join(keys, ITEM_KEY, "left_semi").select("business_date")
+    if previous_state is not None:
+        before = previous_state.join(keys, ITEM_KEY, "left_semi").select("business_date")
+        now = now.unionByName(before)
+    return now.distinct()
+
+
 def split_sales(state: DataFrame) -> DataFrame:
     """Sales whose active items fall on more than one business day."""
     return (

@@ -15,6 +15,8 @@ _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Run ids and versions in paths stay texts.
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     # Years 1 to 9999 are legal business dates.
     "spark.sql.parquet.datetimeRebaseModeInWrite": "CORRECTED",
     "spark.sql.parquet.datetimeRebaseModeInRead": "CORRECTED",
