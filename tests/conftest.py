@@ -17,6 +17,7 @@ def spark():
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.checkpoint.dir", shared)
         .config("spark.sql.warehouse.dir", f"{shared}/warehouse")

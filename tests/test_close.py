@@ -141,29 +141,42 @@ def test_blocked_deliveries(shop):
     assert shop.revenue() == Decimal("64.00")
 
 
-@pytest.mark.parametrize(
-    "codes, edit",
-    [
-        ({"MISSING_FILE", "MISSING_STORE"}, lambda m, t: t.pop("S02.csv")),
-        ({"UNEXPECTED_FILE"}, lambda m, t: t.update({"X.csv": "a\n"})),
-        ({"HASH_MISMATCH"}, lambda m, t: m["files"][0].update(sha256="0" * 64)),
-        ({"ROW_COUNT_MISMATCH"}, lambda m, t: m["files"][0].update(row_count=9)),
-        ({"INVALID_ZERO_CONFIRMATION"}, lambda m, t: m["zero_movement"].append("S01")),
-        ({"COVERAGE_MISMATCH"}, lambda m, t: m.update(covered_stores=["S01", "S01", "S02", "S03"])),
-        ({"UNSUPPORTED_SCHEMA_VERSION"}, lambda m, t: m.update(schema_version=True)),
-        ({"UNKNOWN_MANIFEST_FIELDS"}, lambda m, t: m.update(extra=1)),
-        ({"INVALID_MANIFEST_FIELD"}, lambda m, t: m.update(correction_of="../x")),
-        ({"DUPLICATE_MANIFEST_FILE"}, lambda m, t: m["files"].append(dict(m["files"][0]))),
+def test_delivery_issues(shop):
+    def missing(manifest, texts):
+        texts.pop("S02.csv")
+        texts["X.csv"] = "a\n"
+        manifest["files"][0]["sha256"] = "0" * 64
+        manifest["covered_stores"] = ["S01", "S01", "S02", "S03"]
+
+    def mislabelled(manifest, texts):
+        manifest["files"][0]["row_count"] = 9
+        manifest["zero_movement"].append("S01")
+        manifest.update(schema_version=True, extra=1, correction_of="../x")
+        manifest["files"].append(dict(manifest["files"][0]))
+
+    def elsewhere(manifest, texts):
+        manifest["window_id"] = "W9"
+
+    for edit, codes in (
         (
+            missing,
+            {"MISSING_FILE", "MISSING_STORE", "UNEXPECTED_FILE", "HASH_MISMATCH", "COVERAGE_MISMATCH"},
+        ),
+        (
+            mislabelled,
+            {
+                "ROW_COUNT_MISMATCH", "INVALID_ZERO_CONFIRMATION", "UNSUPPORTED_SCHEMA_VERSION",
+                "UNKNOWN_MANIFEST_FIELDS", "INVALID_MANIFEST_FIELD", "DUPLICATE_MANIFEST_FILE",
+            },
+        ),
+        (
+            elsewhere,
             {"UNKNOWN_OR_DUPLICATE_WINDOW", "UNEXPECTED_STORE", "INVALID_ZERO_CONFIRMATION"},
-            lambda m, t: m.update(window_id="W9"),
         ),
-    ],
-)
-def test_delivery_issues(shop, codes, edit):
-    attempt = shop.close(X.base_rows(), "b1", change=edit)
-    assert attempt.state == "BLOCKED"
-    assert set(attempt.codes()) == codes
+    ):
+        attempt = shop.close(X.base_rows(), change=edit)
+        assert attempt.state == "BLOCKED"
+        assert set(attempt.codes()) == codes
 
 
 def test_validate_only_and_time_zone(shop):

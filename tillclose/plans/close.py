@@ -25,7 +25,7 @@ from tillclose.operators import revisions as V
 from tillclose.operators import row_contract as RC
 from tillclose.operators import serving as S
 from tillclose.schemas import ATTEMPT, LIMIT_JSON_BYTES, PUBLICATION
-from tillclose.session import prepare
+from tillclose.session import local_rows, prepare
 from tillclose.sinks import tables as W
 from tillclose.sources import delivery as IN
 from tillclose.sources import tables as TB
@@ -81,7 +81,11 @@ def _references(spark: SparkSession, root: str) -> DataFrame:
 def configure_references(spark: SparkSession, root: str, catalog: str, schedule: str) -> str:
     """Approve a catalogue and a schedule (JSON texts) for a state; they never change after."""
     prepare(spark)
-    documents = spark.createDataFrame([("r", catalog, schedule)], "reference_id string, c string, s string")
+    documents = local_rows(
+        spark,
+        "reference_id string, c string, s string",
+        [{"reference_id": "r", "c": catalog, "s": schedule}],
+    )
     catalogs = documents.select("reference_id", F.col("c").alias("document"))
     schedules = documents.select("reference_id", F.col("s").alias("document"))
     found = DOC.check_catalog(catalogs).unionByName(
@@ -101,8 +105,8 @@ def configure_references(spark: SparkSession, root: str, catalog: str, schedule:
     if verdict["verdict"] == "REFUSED":
         raise ValueError("references are already fixed for this state")
     if verdict["verdict"] == "ACCEPTED":
-        record = [("r", verdict["c"], verdict["s"], verdict["digest"])]
-        spark.createDataFrame(record, REFERENCES).coalesce(1).write.mode("append").json(
+        record = {"reference_id": "r", "catalog": verdict["c"], "schedule": verdict["s"]}
+        local_rows(spark, REFERENCES, [{**record, "digest": verdict["digest"]}]).coalesce(1).write.mode("append").json(
             f"{root}/references"
         )
     return verdict["digest"]
@@ -131,98 +135,132 @@ def _ingest(
         attempt.batch_id = f"incomplete-{attempt.run_id}"
         _collect_issues(attempt, over)
         return None
-    inventory = IN.file_inventory(spark, folder)
-    manifests = IN.read_documents(spark, folder, "manifest.json").filter("path = 'manifest.json'")
-    text = manifests.first()
-    documents = spark.createDataFrame(
-        [("delivery", text["document"] if text else None)], "delivery_id string, document string"
+    inventory = W.write_evidence(IN.file_inventory(spark, folder), run_path, "inventory")
+    texts = {
+        row["path"]: row["document"]
+        for row in IN.read_documents(spark, folder, "*.json")
+        .filter(F.col("path").isin(D.DOCUMENTS))
+        .collect()
+    }
+
+    def document(key: str, text: str | None) -> DataFrame:
+        return local_rows(spark, f"{key} string, document string", [{key: "d", "document": text}])
+
+    documents = document("delivery_id", texts.get("manifest.json"))
+    header = (
+        DOC.manifest_headers(documents)
+        .join(DOC.manifest_identity(documents), "delivery_id")
+        .withColumn("valid_id", DOC.C.valid_identifier(F.col("batch_id")))
+        .first()
+    )
+    attempt.batch_id = (
+        header["batch_id"] if header["valid_id"] else f"invalid-{header['manifest_hash'][:12]}"
     )
-    header = DOC.manifest_headers(documents).join(DOC.manifest_identity(documents), "delivery_id").first()
-    batch_id = header["batch_id"] or ""
-    valid_id = bool(batch_id) and spark.range(1).select(DOC.C.valid_identifier(F.lit(batch_id))).first()[0]
-    attempt.batch_id = batch_id if valid_id else f"invalid-{header['manifest_hash'][:12]}"
     named = F.lit(attempt.batch_id).alias("batch_id")
-    files = DOC.manifest_files(documents).select(
-        named, "path", "sha256", "row_count", "store_id"
+    inventory = inventory.withColumn("batch_id", named)
+    files = W.write_evidence(
+        DOC.manifest_files(documents).select(named, "path", "sha256", "row_count", "store_id"),
+        run_path,
+        "files",
     )
-    zeros = DOC.manifest_zeros(documents).select(named, "store_id")
-    inventory = inventory.withColumn("batch_id", F.lit(attempt.batch_id))
-
-    approved = spark.createDataFrame([("r", reference["catalog"])], "reference_id string, document string")
-    calendar = spark.createDataFrame([("r", reference["schedule"])], "reference_id string, document string")
+    approved = document("reference_id", reference["catalog"])
+    calendar = document("reference_id", reference["schedule"])
     stores, products = DOC.active_stores(approved), DOC.catalog_products(approved)
-    request = spark.createDataFrame(
-        [(attempt.batch_id, "r", header["window_id"], header["source_system"])],
+    request = local_rows(
+        spark,
         "batch_id string, reference_id string, window_id string, source_system string",
+        [
+            {
+                "batch_id": attempt.batch_id,
+                "reference_id": "d",
+                "window_id": header["window_id"],
+                "source_system": header["source_system"],
+            }
+        ],
+    )
+    # Stores of the delivery: expected by the window, confirming zero, active.
+    on, off = F.lit(True), F.lit(False)
+    sides = (
+        DOC.expected_stores(request, calendar)
+        .select("store_id", on.alias("e"), off.alias("z"), off.alias("a"))
+        .unionByName(DOC.manifest_zeros(documents).select("store_id", off.alias("e"), on.alias("z"), off.alias("a")))
+        .unionByName(stores.select("store_id", off.alias("e"), off.alias("z"), on.alias("a")))
+        .groupBy("store_id")
+        .agg(*(F.max(n).alias(n) for n in "eza"))
+    )
+    sides = W.write_evidence(sides.select(named, "*"), run_path, "stores")
+    expected, zeros, active = (
+        sides.filter(F.col(n)).select("batch_id", "store_id") for n in "eza"
     )
-    expected = DOC.expected_stores(request, calendar)
     # The delivered copies of the references are checked too; they grant nothing.
-    delivered_issues, hashes = [], {}
-    for name, label, check in (
-        ("catalog.json", "CATALOG", DOC.check_catalog),
-        ("schedule.json", "SCHEDULE", None),
-    ):
-        copy = IN.read_documents(spark, folder, name).filter(F.col("path") == name).first()
-        sha = inventory.filter(F.col("path") == name).select("sha256").first()
-        hashes[name] = sha["sha256"] if sha else None
-        frame = spark.createDataFrame(
-            [("r", copy["document"] if copy else None)], "reference_id string, document string"
-        )
-        if check is None:
-            found = DOC.check_schedule(frame, stores)
-        else:
-            found = check(frame)
-        delivered_issues.append(_document_issues(found, "reference_id", attempt.batch_id))
+    hashes = dict.fromkeys(("catalog.json", "schedule.json"))
+    for row in inventory.filter(F.col("path").isin(*hashes)).select("path", "sha256").collect():
+        hashes[row["path"]] = row["sha256"]
+    copies = [
+        DOC.check_catalog(document("reference_id", texts.get("catalog.json"))),
+        DOC.check_schedule(document("reference_id", texts.get("schedule.json")), stores),
+    ]
 
     arrived = D.delivered(files, inventory)
-    raw = IN.read_delivery_csv(spark, folder).select(
-        "*",
-        named,
-        F.lit(attempt.run_id).alias("run_id"),
-    )
     # Files outside the manifest are reported, not read.
-    raw = raw.join(arrived.select(F.col("path").alias("source_file")), "source_file", "left_semi")
+    raw = (
+        IN.read_delivery_csv(spark, folder, inventory)
+        .join(arrived.select(F.col("path").alias("source_file")), "source_file", "left_semi")
+        .select("*", named, F.lit(attempt.run_id).alias("run_id"))
+    )
     declared = files.select(
         "batch_id", "path", F.lit(header["source_system"] or "").alias("source_system"), "store_id"
     )
     bronze_path = W.write_bronze(
-        RC.bronze_rows(RC.with_references(raw, declared, stores, products)), run_path
+        RC.bronze_rows(RC.with_references(raw, declared, active, products)), run_path
     )
     bronze = spark.read.parquet(bronze_path)
     W.write_quarantine(bronze, run_path)
 
-    counts = D.observed_counts(files, bronze)
-    coverage = D.delivery_coverage(expected, files, inventory, zeros)
-    headers = IN.header_issues(IN.file_headers(spark, folder)).withColumn("batch_id", named)
+    counts = W.write_evidence(D.observed_counts(files, bronze), run_path, "counts")
+    coverage = W.write_evidence(
+        D.delivery_coverage(expected, files, inventory, zeros), run_path, "coverage"
+    )
     described = DOC.manifest_headers(documents).select(named, "covered_stores")
     unreadable = inventory.filter("path LIKE '%.csv' AND NOT readable")
     mismatched = D.row_count_mismatch(files, inventory, counts)
-    wrong_headers = headers.filter("NOT header_ok").join(
-        arrived.select("path"), "path", "left_semi"
-    ).join(inventory.filter("bytes > 0").select("path"), "path", "left_semi")
+    wrong_headers = (
+        IN.file_headers(inventory.filter("bytes > 0"))
+        .filter("NOT header_ok")
+        .join(arrived.select("path"), "path", "left_semi")
+        .select("path", named)
+    )
+    identity = local_rows(
+        spark,
+        W.IDENTITY,
+        [
+            {
+                "batch_id": attempt.batch_id,
+                "manifest_hash": header["manifest_hash"],
+                "reference_hash": json.dumps(hashes, sort_keys=True),
+            }
+        ],
+    )
     issues = D.union_issues(
         _document_issues(DOC.check_manifest(documents), "delivery_id", attempt.batch_id),
-        *delivered_issues,
+        *(_document_issues(found, "reference_id", attempt.batch_id) for found in copies),
         D.issue(DOC.window_issues(request, calendar), F.col("code")),
         D.missing_files(files, inventory),
         D.unexpected_files(files, inventory),
         D.hash_mismatch(files, inventory),
         D.issue(mismatched, "ROW_COUNT_MISMATCH", file=F.col("file"), count=F.col("received")),
         D.empty_files(files, inventory, counts, zeros),
-        D.unexpected_store(files, expected, stores),
+        D.unexpected_store(files, expected, active),
         D.invalid_zero_confirmation(zeros, expected, files, counts),
         D.missing_stores(coverage),
         D.coverage_mismatch(described, files, zeros),
         D.issue(unreadable, "CSV_DECODE_ERROR", file=F.col("path")),
         D.issue(wrong_headers, "SCHEMA_MISMATCH", file=F.col("path")),
         D.issue_rollup(bronze),
+        D.batch_identity_conflict(identity, W.read_batch_registry(spark, root)),
     )
-    identity = spark.createDataFrame(
-        [(attempt.batch_id, header["manifest_hash"], json.dumps(hashes, sort_keys=True))], W.IDENTITY
-    )
-    conflicts = D.batch_identity_conflict(identity, W.read_batch_registry(spark, root))
     stats = D.delivery_stats(bronze)
-    W.write_quality_summary(issues.unionByName(conflicts), stats, coverage, run_path)
+    W.write_quality_summary(issues, stats, coverage, run_path)
     W.write_batch_registry(identity, root)
 
     stored = spark.read.schema(
@@ -327,7 +365,7 @@ def build_profile(
         "coverage": coverage.select(
             "store_id", "expected", "received", "missing", "zero_movement"
         ),
-        "batch": spark.createDataFrame([Row(**stats)]),
+        "batch": local_rows(spark, ", ".join(f"{n} bigint" for n in stats), [stats]),
     }
     if previous is not None and previous_coverage is not None:
         stores = comparison.store_sides(
@@ -372,10 +410,7 @@ def _stored_coverage(spark: SparkSession, root: str, publication_id: str) -> Dat
     if not records:
         return None
     schema = "store_id string, expected boolean, received boolean, missing boolean, zero_movement boolean"
-    return spark.createDataFrame(
-        [tuple(r.get(n) for n in ("store_id", "expected", "received", "missing", "zero_movement")) for r in records],
-        schema,
-    )
+    return local_rows(spark, schema, records)
 
 
 def _accumulate(coverage: DataFrame, previous: DataFrame | None) -> DataFrame:
@@ -394,20 +429,12 @@ def _accumulate(coverage: DataFrame, previous: DataFrame | None) -> DataFrame:
 
 # ---- the run ----------------------------------------------------------------------------
 def _save_attempt(spark: SparkSession, root: str, attempt: Attempt) -> None:
-    issue_names = ("code", "severity", "count", "store_id", "file", "line")
     begun, ended = (datetime.fromisoformat(t) for t in (attempt.started_at, attempt.finished_at))
-    record = {
-        **attempt.__dict__,
-        "duration_seconds": (ended - begun).total_seconds(),
-        "issues": [tuple(i.get(n) for n in issue_names) for i in attempt.issues],
-    }
-    names = [piece.split(" ")[0] for piece in (
-        "run_id", "batch_id", "state", "started_at", "finished_at", "duration_seconds", "stages",
-        "stats", "coverage", "issues", "publication_id", "job_mode")]
-    frame = spark.createDataFrame([tuple(record[n] for n in names)], ATTEMPT)
-    frame.withColumn("book_id", F.lit("state")).coalesce(1).write.mode("append").json(
-        f"{root}/attempts"
-    )
+    record = {**attempt.__dict__, "duration_seconds": (ended - begun).total_seconds()}
+    schema = f"book_id string, {ATTEMPT}"
+    local_rows(spark, schema, [{**record, "book_id": "state"}]).coalesce(1).write.mode(
+        "append"
+    ).json(f"{root}/attempts")
 
 
 def close_batch(
@@ -511,26 +538,32 @@ def _publish(
         spark, publication_id, attempt.run_id, state, previous_state, coverage, before,
         prepared["bronze"], attempt.stats,
     )
-    digest = W.write_profile(profile, root)
+    run_path = f"{root}/runs/run_id={attempt.run_id}"
+    digest = W.write_profile(W.write_evidence(profile, run_path, "profile"), root)
     hashes = {**prepared["hashes"], "operator_reference_hash": reference["digest"]}
-    source = (
-        attempt.batch_id, attempt.run_id, prepared["bronze_path"], 0, hashes,
-        reference["digest"], prepared["manifest_hash"],
-    )
-    references = {name: (row.path, row.version) for name, row in tables.items()}
-    references["bronze"] = (prepared["bronze_path"], 0)
-    manifest = (
-        publication_id,
-        attempt.run_id,
-        _now(),
-        official["sequence"] + 1 if official else 0,
-        official["publication_id"] if official else None,
-        [*(official["accepted_batches"] if official else []), attempt.batch_id],
-        references,
-        [*(official["sources"] if official else []), source],
-        (f"{root}/profiles", digest, 1),
-    )
-    W.write_publication(spark.createDataFrame([manifest], PUBLICATION), root)
+    source = {
+        "batch_id": attempt.batch_id,
+        "run_id": attempt.run_id,
+        "bronze_path": prepared["bronze_path"],
+        "bronze_version": 0,
+        "reference_hashes": hashes,
+        "operator_reference_hash": reference["digest"],
+        "manifest_hash": prepared["manifest_hash"],
+    }
+    earlier = official.asDict(recursive=True) if official else {}
+    manifest = {
+        "publication_id": publication_id,
+        "run_id": attempt.run_id,
+        "published_at": _now(),
+        "sequence": earlier.get("sequence", -1) + 1,
+        "previous_publication_id": earlier.get("publication_id"),
+        "accepted_batches": [*earlier.get("accepted_batches", []), attempt.batch_id],
+        "tables": {name: row.asDict() for name, row in tables.items()}
+        | {"bronze": {"path": prepared["bronze_path"], "version": 0}},
+        "sources": [*earlier.get("sources", []), source],
+        "profile": {"path": f"{root}/profiles", "sha256": digest, "contract_version": 1},
+    }
+    W.write_publication(local_rows(spark, PUBLICATION, [manifest]), root)
     attempt.publication_id, attempt.state = publication_id, "PUBLISHED"
 
 
@@ -552,7 +585,7 @@ def report(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         spark, root, ["gold_store_day", "gold_product_day"]
     )
     attempts, pointer = _attempts(spark, root), _pointer(spark, root)
-    books = spark.createDataFrame([("state",)], "book_id string")
+    books = local_rows(spark, "book_id string", [{"book_id": "state"}])
     found = {
         "latest_attempt": R.latest_attempt(attempts, pointer),
         "last_failed_attempt": R.last_failed_attempt(attempts, pointer),

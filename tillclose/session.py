@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _SETTINGS = {
     # Instants are UTC; the business day is derived explicitly.
@@ -23,6 +25,17 @@ _SETTINGS = {
 }
 
 
+def build_session(name: str = "tillclose", **settings: str) -> SparkSession:
+    """A session with the settings above, and without the capture of Python call sites, which
+    costs more than the planning of small stages."""
+    builder = SparkSession.builder.appName(name).config(
+        "spark.python.sql.dataFrameDebugging.enabled", "false"
+    )
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    return prepare(builder.getOrCreate())
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; partition counts and memory stay with the cluster."""
     for name, value in _SETTINGS.items():
@@ -60,3 +73,11 @@ def cut(frame: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint(eager=True)
+
+
+def local_rows(spark: SparkSession, schema: str, rows: list[dict]) -> DataFrame:
+    """A few records as a plan literal: no Python worker, folded by the optimizer."""
+    kind = f"array<{T.StructType.fromDDL(schema).simpleString()}>"
+    return spark.sql(
+        "SELECT inline(from_json(:rows, :kind))", args={"rows": json.dumps(rows), "kind": kind}
+    )

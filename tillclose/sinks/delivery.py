@@ -12,14 +12,15 @@ from tillclose.sources.delivery import file_inventory, read_delivery_csv
 ROWS_PER_FILE = 200000
 
 
-def write_delivery(rows: DataFrame, folder: str) -> None:
+def write_delivery(rows: DataFrame, folder: str, store: str = "store_id") -> None:
     """Files below ``delivery=<batch>/store=<store>/``.
 
     Rows are brought together per delivery and store; a hot store is split over several tasks
-    and files, which the manifest lists one by one.
+    and files, which the manifest lists one by one. ``store`` names the column that holds the
+    store a file is delivered for.
     """
     named = rows.select(
-        *BUSINESS_FIELDS, F.col("batch_id").alias("delivery"), F.col("store_id").alias("store")
+        *BUSINESS_FIELDS, F.col("batch_id").alias("delivery"), F.col(store).alias("store")
     )
     (
         named.hint("rebalance", "delivery", "store")
@@ -27,6 +28,8 @@ def write_delivery(rows: DataFrame, folder: str) -> None:
         .partitionBy("delivery", "store")
         .option("header", "true")
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", "false")
+        .option("ignoreTrailingWhiteSpace", "false")
         .option("maxRecordsPerFile", ROWS_PER_FILE)
         .csv(folder)
     )
@@ -34,14 +37,14 @@ def write_delivery(rows: DataFrame, folder: str) -> None:
 
 def delivered_files(spark, folder: str) -> DataFrame:
     """What was written: delivery, store, path, digest and row count of every file."""
+    inventory = file_inventory(spark, folder, "*.csv")
     counted = (
-        read_delivery_csv(spark, folder)
+        read_delivery_csv(spark, folder, inventory)
         .groupBy(F.col("source_file").alias("path"))
         .agg(F.count(F.lit(1)).alias("row_count"))
     )
     return (
-        file_inventory(spark, folder, "*.csv")
-        .join(counted, "path", "left")
+        inventory.join(counted, "path", "left")
         .select(
             F.regexp_extract("path", r"delivery=([^/]*)", 1).alias("delivery_id"),
             F.regexp_extract("path", r"store=([^/]*)", 1).alias("store_id"),

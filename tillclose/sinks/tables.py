@@ -15,6 +15,7 @@ from tillclose.operators.audit import latest_table_version
 from tillclose.operators.delivery import new_batches
 from tillclose.operators.revisions import relabel_rejects
 from tillclose.operators.row_contract import quarantine
+from tillclose.session import local_rows
 from tillclose.sources.tables import REGISTRY, _read_json, read_registry
 
 IDENTITY = "batch_id string, manifest_hash string, reference_hash string"
@@ -51,7 +52,11 @@ def next_version(spark: SparkSession, root: str, name: str) -> int:
 def register_version(
     spark: SparkSession, root: str, name: str, path: str, version: int, run_id: str
 ) -> None:
-    record = spark.createDataFrame([(name, path, version, run_id)], REGISTRY)
+    record = local_rows(
+        spark,
+        REGISTRY,
+        [{"table_name": name, "path": path, "version": version, "run_id": run_id}],
+    )
     record.write.mode("append").json(f"{root}/versions")
 
 
@@ -107,6 +112,13 @@ def read_profiles(spark: SparkSession, root: str) -> DataFrame:
     return _read_json(spark, f"{root}/profiles", PROFILE)
 
 
+def write_evidence(frame: DataFrame, run_path: str, name: str) -> DataFrame:
+    """An intermediate result of a run, written once and read from there by later stages."""
+    path = f"{run_path}/evidence/{name}"
+    frame.write.mode("errorifexists").parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
 def write_profile(profile: DataFrame, root: str) -> str:
     """Store a profile once. Writing the same content again changes nothing, other content
     under a stored id is refused. ``profile``: one JSON document per section, a dozen rows."""

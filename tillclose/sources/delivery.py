@@ -22,9 +22,10 @@ def _relative(path: Column, folder: str) -> Column:
 
 
 def file_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Every file below a folder: relative path, bytes, SHA-256, and for CSV files whether the
+    """Every file below a folder: relative path, bytes, SHA-256, header cells, and whether the
     text is valid UTF-8 with balanced quotes. Hidden files of the file system are left out."""
     content = F.col("content").cast("string")
+    first = F.element_at(F.split(content, r"\r?\n", 2), 1)
     quotes = F.length(content) - F.length(F.replace(content, F.lit('"'), F.lit("")))
     readable = F.coalesce(F.is_valid_utf8(content), F.lit(False)) & (quotes % 2 == 0)
     return (
@@ -37,6 +38,7 @@ def file_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> Data
             F.col("length").alias("bytes"),
             F.sha2("content", 256).alias("sha256"),
             readable.alias("readable"),
+            F.split(F.replace(first, F.lit('"'), F.lit("")), ",").alias("header"),
         )
     )
 
@@ -51,25 +53,12 @@ def file_sizes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def file_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """Header cells of every CSV file."""
-    first = F.element_at(F.split(F.col("content").cast("string"), r"\r?\n", 2), 1)
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .load(folder)
-        .select(
-            _relative(F.col("path"), folder).alias("path"),
-            F.split(F.replace(first, F.lit('"'), F.lit("")), ",").alias("header"),
-        )
-    )
-
-
-def header_issues(headers: DataFrame) -> DataFrame:
-    """Files whose header is not the twelve fields in order."""
+def file_headers(inventory: DataFrame) -> DataFrame:
+    """Header cells of the CSV files, and whether they are the twelve fields in order."""
     wanted = F.array(*map(F.lit, BUSINESS_FIELDS))
-    return headers.withColumn("header_ok", F.col("header") == wanted)
+    return inventory.filter("path LIKE '%.csv'").select(
+        "path", "header", (F.col("header") == wanted).alias("header_ok")
+    )
 
 
 def _breaks(text: Column) -> Column:
@@ -78,14 +67,19 @@ def _breaks(text: Column) -> Column:
     )
 
 
-def read_delivery_csv(spark: SparkSession, folder: str) -> DataFrame:
+def read_delivery_csv(
+    spark: SparkSession, folder: str, inventory: DataFrame | None = None
+) -> DataFrame:
     """Rows of all CSV files below a folder, cells as text, with file and physical line.
 
     Quoted cells may hold line breaks, so a file is read by one task; the contract limits a
     file to 64 MiB. The line is counted within the file from the record order and the breaks
     inside earlier records. A row whose width differs from the header fills the corrupt
     column and keeps its raw text. Under a wrong header the cells are matched by name.
+    Pass a stored ``inventory`` of the folder where there is one, so files are read once.
     """
+    if inventory is None:
+        inventory = file_inventory(spark, folder, "*.csv")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in [*_CELLS, _CORRUPT]])
     scanned = (
         spark.read.schema(schema)
@@ -109,15 +103,15 @@ def read_delivery_csv(spark: SparkSession, folder: str) -> DataFrame:
         Window.unboundedPreceding, -1
     )
     lines = F.when(F.col(_CORRUPT).isNull(), inside).otherwise(broken_inside) + 1
-    headers = header_issues(file_headers(spark, folder)).withColumnRenamed("path", "source_file")
+    headers = file_headers(inventory).withColumnRenamed("path", "source_file")
     cells = F.array(*_CELLS)
     wrong_width = F.col(_CORRUPT).isNotNull()
 
     def cell(position: int, name: str) -> Column:
         by_name = F.try_element_at(cells, F.array_position("header", name).cast("int"))
-        return F.when(F.col("header_ok"), F.col(_CELLS[position])).otherwise(
-            F.when(F.array_contains("header", name), by_name)
-        )
+        # An empty or absent cell is the empty text.
+        value = F.when(F.col("header_ok"), F.col(_CELLS[position])).otherwise(by_name)
+        return F.coalesce(value, F.lit(""))
 
     values = F.transform(cells, lambda c: F.coalesce(c, F.lit("")))
     return (

@@ -8,6 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tillclose.operators.audit import current_publication
 from tillclose.schemas import PUBLICATION
+from tillclose.session import local_rows
 
 REGISTRY = "table_name string, path string, version bigint, run_id string"
 
@@ -19,7 +20,7 @@ def _read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], schema)
+        return local_rows(spark, schema, [])
 
 
 def read_publications(spark: SparkSession, root: str) -> DataFrame:

@@ -253,8 +253,7 @@ def documents(spark, folder):
     """,
 )
 def lineage_events(spark, folder):
-    events = L.lineage_events(attempts(spark, folder), documents(spark, folder))
-    return events.select(
+    return lineage_frame(spark, folder).select(
         "run_id",
         "job",
         "kind",
@@ -267,8 +266,12 @@ def lineage_events(spark, folder):
     )
 
 
+def lineage_frame(spark, folder):
+    return L.lineage_events(attempts(spark, folder), documents(spark, folder))
+
+
 def digests(spark, folder):
-    return L.event_digest(L.lineage_events(attempts(spark, folder), documents(spark, folder)))
+    return L.event_digest(lineage_frame(spark, folder))
 
 
 def exported(spark, folder):
