@@ -46,28 +46,36 @@ def bounded_money(value: Column, maximum: str) -> Column:
     return F.when(amount <= F.lit(maximum).cast("decimal(34,2)"), amount)
 
 
-def instant(value: Column) -> Column:
-    """UTC instant of an ISO-8601 text with a mandatory offset, null when invalid.
+def offset_micros(value: Column) -> Column:
+    """UTC microseconds of an ISO-8601 text; only meaningful where ``usable_instant`` holds.
 
     The offset is applied by hand because the contract allows up to 23:59, more than the
-    built-in parser takes. Local year 0 and UTC instants outside years 1-9999 are refused.
+    built-in parser takes.
     """
     zulu = value.endswith("Z")
-    local = F.when(
-        zulu, value
-    ).otherwise(F.concat(value.substr(F.lit(1), F.length(value) - 6), F.lit("Z")))
+    local = F.when(zulu, value).otherwise(
+        F.concat(value.substr(F.lit(1), F.length(value) - 6), F.lit("Z"))
+    )
     sign = F.when(value.substr(-6, 1) == "-", -1).otherwise(1)
     minutes = F.when(zulu, 0).otherwise(
-        sign
-        * (value.substr(-5, 2).try_cast("int") * 60 + value.substr(-2, 2).try_cast("int"))
+        sign * (value.substr(-5, 2).try_cast("int") * 60 + value.substr(-2, 2).try_cast("int"))
     )
-    micros = F.unix_micros(local.try_cast("timestamp")) - minutes.cast("bigint") * 60000000
-    usable = (
+    return F.unix_micros(local.try_cast("timestamp")) - minutes.cast("bigint") * 60000000
+
+
+def usable_instant(value: Column, micros: Column) -> Column:
+    """Right form, a local year above 0, and a UTC instant within years 1 to 9999."""
+    return (
         matches(value, INSTANT)
         & ~value.startswith("0000")
         & micros.between(FIRST_MICROS, LAST_MICROS)
     )
-    return F.when(usable, F.timestamp_micros(micros))
+
+
+def instant(value: Column) -> Column:
+    """UTC instant of an ISO-8601 text with a mandatory offset, null when invalid."""
+    micros = offset_micros(value)
+    return F.when(usable_instant(value, micros), F.timestamp_micros(micros))
 
 
 def business_day(moment: Column) -> Column:
@@ -75,10 +83,9 @@ def business_day(moment: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(moment, BUSINESS_ZONE))
 
 
-def sold_instant(value: Column) -> Column:
-    """Instant whose business day also stays within the legal calendar."""
-    moment = instant(value)
-    return F.when(business_day(moment) >= F.lit("0001-01-01").cast("date"), moment)
+def within_calendar(moment: Column) -> Column:
+    """Does the business day of the instant exist? Year 1 may underflow in the local zone."""
+    return business_day(moment) >= F.lit("0001-01-01").cast("date")
 
 
 def instant_text(moment: Column) -> Column:

@@ -53,6 +53,37 @@ def with_references(
     )
 
 
+MEASURES = ["_revision", "_quantity", "_price", "_discount", "_sold", "_updated"]
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """Canonical value of every number, amount and instant, null where the text is invalid.
+
+    Each is computed once, in steps, because rules, canonical texts and hashes all use them.
+    """
+    stamps = {"_sold": "sold_at", "_updated": "source_updated_at"}
+    return (
+        rows.withColumns(
+            {
+                "_revision": C.bounded_integer(F.col("revision"), MAX_REVISION),
+                "_quantity": C.bounded_integer(F.col("quantity"), MAX_QUANTITY),
+                "_price": C.bounded_money(F.col("unit_price_brl"), MAX_UNIT_PRICE),
+                "_discount": C.bounded_money(F.col("line_discount_brl"), MAX_LINE_DISCOUNT),
+                **{name: C.offset_micros(F.col(field)) for name, field in stamps.items()},
+            }
+        )
+        .withColumns(
+            {
+                name: F.when(
+                    C.usable_instant(F.col(field), F.col(name)), F.timestamp_micros(F.col(name))
+                )
+                for name, field in stamps.items()
+            }
+        )
+        .withColumn("_sold", F.when(C.within_calendar(F.col("_sold")), F.col("_sold")))
+    )
+
+
 def identifier_rules() -> Rules:
     return [
         (f"INVALID_{name.upper()}", ~C.valid_identifier(F.col(name)))
@@ -81,11 +112,11 @@ def known_product_rules() -> Rules:
 
 
 def revision_rules() -> Rules:
-    return [("INVALID_REVISION", C.bounded_integer(F.col("revision"), MAX_REVISION).isNull())]
+    return [("INVALID_REVISION", F.col("_revision").isNull())]
 
 
 def quantity_rules() -> Rules:
-    return [("INVALID_QUANTITY", C.bounded_integer(F.col("quantity"), MAX_QUANTITY).isNull())]
+    return [("INVALID_QUANTITY", F.col("_quantity").isNull())]
 
 
 def operation_rules() -> Rules:
@@ -93,27 +124,23 @@ def operation_rules() -> Rules:
 
 
 def money_rules() -> Rules:
-    price = C.bounded_money(F.col("unit_price_brl"), MAX_UNIT_PRICE)
-    discount = C.bounded_money(F.col("line_discount_brl"), MAX_LINE_DISCOUNT)
     return [
-        ("INVALID_UNIT_PRICE_BRL", price.isNull()),
-        ("INVALID_LINE_DISCOUNT_BRL", discount.isNull()),
+        ("INVALID_UNIT_PRICE_BRL", F.col("_price").isNull()),
+        ("INVALID_LINE_DISCOUNT_BRL", F.col("_discount").isNull()),
     ]
 
 
 def discount_rules() -> Rules:
-    quantity = C.bounded_integer(F.col("quantity"), MAX_QUANTITY)
-    price = C.bounded_money(F.col("unit_price_brl"), MAX_UNIT_PRICE).cast("decimal(18,2)")
-    discount = C.bounded_money(F.col("line_discount_brl"), MAX_LINE_DISCOUNT)
+    gross = F.col("_price").cast("decimal(18,2)") * F.col("_quantity").cast("decimal(10,0)")
     # Null on any invalid input, and then the rule stays silent.
-    exceeds = discount.cast("decimal(18,2)") > price * quantity.cast("decimal(10,0)")
+    exceeds = F.col("_discount").cast("decimal(18,2)") > gross
     return [("DISCOUNT_EXCEEDS_GROSS", F.coalesce(exceeds, F.lit(False)))]
 
 
 def timestamp_rules() -> Rules:
     return [
-        ("INVALID_SOLD_AT", C.sold_instant(F.col("sold_at")).isNull()),
-        ("INVALID_SOURCE_UPDATED_AT", C.instant(F.col("source_updated_at")).isNull()),
+        ("INVALID_SOLD_AT", F.col("_sold").isNull()),
+        ("INVALID_SOURCE_UPDATED_AT", F.col("_updated").isNull()),
     ]
 
 
@@ -150,42 +177,46 @@ def error_codes(rules: Rules) -> Column:
 
 def failing_rows(rows: DataFrame, rules: Rules) -> DataFrame:
     """Rows that break at least one of the rules, with the codes they break."""
-    return rows.withColumn("errors", error_codes(rules)).filter(F.size("errors") > 0)
+    coded = measured(rows).withColumn("errors", error_codes(rules)).drop(*MEASURES)
+    return coded.filter(F.size("errors") > 0)
 
 
 def canonical_fields() -> dict[str, Column]:
-    """Canonical text of each field; an invalid value stays as it came."""
+    """Canonical text of each field of measured rows; an invalid value stays as it came."""
     fields = {name: F.coalesce(F.col(name), F.lit("")) for name in BUSINESS_FIELDS}
     replacements = {
-        "revision": C.bounded_integer(F.col("revision"), MAX_REVISION).cast("string"),
-        "quantity": C.bounded_integer(F.col("quantity"), MAX_QUANTITY).cast("string"),
-        "unit_price_brl": C.bounded_money(F.col("unit_price_brl"), MAX_UNIT_PRICE).cast("string"),
-        "line_discount_brl": C.bounded_money(
-            F.col("line_discount_brl"), MAX_LINE_DISCOUNT
-        ).cast("string"),
-        "sold_at": C.instant_text(C.sold_instant(F.col("sold_at"))),
-        "source_updated_at": C.instant_text(C.instant(F.col("source_updated_at"))),
+        "revision": F.col("_revision").cast("string"),
+        "quantity": F.col("_quantity").cast("string"),
+        "unit_price_brl": F.col("_price").cast("string"),
+        "line_discount_brl": F.col("_discount").cast("string"),
+        "sold_at": C.instant_text(F.col("_sold")),
+        "source_updated_at": C.instant_text(F.col("_updated")),
     }
     return {name: F.coalesce(replacements.get(name, fields[name]), fields[name]) for name in fields}
 
 
 def payload_hashes(rows: DataFrame) -> DataFrame:
     """SHA-256 of the canonical JSON of the twelve fields."""
-    return rows.withColumn("payload_hash", text_digest(canonical_json(canonical_fields())))
+    hashed = text_digest(canonical_json(canonical_fields()))
+    return measured(rows).withColumn("payload_hash", hashed).drop(*MEASURES)
 
 
 def bronze_rows(rows: DataFrame) -> DataFrame:
     """All received rows: canonical values, provenance, payload hash and ordered codes."""
     canonical = canonical_fields()
-    return rows.select(
-        *(canonical[name].alias(name) for name in BUSINESS_FIELDS),
+    names = [f"_text_{name}" for name in BUSINESS_FIELDS]
+    coded = measured(rows).withColumn("_errors", error_codes(all_rules()))
+    texts = coded.withColumns({f"_text_{name}": canonical[name] for name in BUSINESS_FIELDS})
+    fields = dict(zip(BUSINESS_FIELDS, map(F.col, names), strict=True))
+    return texts.select(
+        *(fields[name].alias(name) for name in BUSINESS_FIELDS),
         "batch_id",
         "run_id",
         "source_file",
         "source_line",
-        text_digest(canonical_json(canonical)).alias("payload_hash"),
+        text_digest(canonical_json(fields)).alias("payload_hash"),
         "raw_payload",
-        error_codes(all_rules()).alias("errors"),
+        F.col("_errors").alias("errors"),
     )
 
 
