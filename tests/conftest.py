@@ -31,3 +31,14 @@ def spark():
 @pytest.fixture
 def folder():
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def pytest_addoption(parser):
+    parser.addoption("--slow", action="store_true", help="also run the slow whole closes")
+
+
+def pytest_collection_modifyitems(config, items):
+    if not config.getoption("--slow"):
+        for item in items:
+            if "slow" in item.keywords:
+                item.add_marker(pytest.mark.skip(reason="needs --slow"))

@@ -65,18 +65,10 @@ def test_life_of_a_close(shop):
     assert (replay.state, replay.stats["duplicates"]) == ("NO_CHANGE", 4)
     assert replay.publication_id == first.publication_id
 
-    doubled = shop.close(X.base_rows() * 2, "b2")
-    assert (doubled.state, doubled.stats["duplicates"]) == ("PUBLISHED", 8)
-    _, frames = TB.read_published_snapshot(shop.spark, shop.root, ["history"])
-    assert frames["history"].count() == 4
-
     revised = change(X.base_rows()[:1], 0, revision="2", quantity="3", unit_price_brl="11.00")
     assert shop.close(revised, "b3", zero=("S02", "S03")).state == "PUBLISHED"
     assert shop.revenue() == Decimal("77.00")
 
-    stale = shop.close(X.base_rows()[:1], "b4", zero=("S02", "S03"))
-    assert stale.stats["stale"] == 1 and shop.revenue() == Decimal("77.00")
-
     moved = [
         {**row, "revision": "3", "sold_at": "2026-01-02T12:00:00-03:00"}
         for row in [{**revised[0]}, X.base_rows()[1]]
@@ -93,10 +85,6 @@ def test_life_of_a_close(shop):
     assert shop.revenue() == Decimal("57.00")
     _, frames = TB.read_published_snapshot(shop.spark, shop.root, ["history"])
     assert frames["history"].filter("sale_id = 'B1'").count() == 2
-    revive = change(X.base_rows()[3:], 0, revision="3")
-    shop.close(revive, "b7", zero=("S01", "S03"))
-    assert shop.revenue() == Decimal("77.00")
-
     found = {k: f.collect() for k, f in P.explain(shop.spark, shop.root, "S01").items()}
     assert found["totals"][0]["net_revenue_brl"] == Decimal("57.00")
     assert len(found["contributions"]) == 3 and len(found["revisions"]) == 6
@@ -104,12 +92,13 @@ def test_life_of_a_close(shop):
     assert decision["decision"] == "PUBLISHED"
 
     events = P.export_lineage(shop.spark, shop.root)
-    assert events.filter("kind = 'terminal' AND event_type = 'COMPLETE'").count() == 8
+    assert events.filter("kind = 'terminal' AND event_type = 'COMPLETE'").count() == 5
     before = P.W.read_exported_events(shop.spark, shop.root).count()
     P.export_lineage(shop.spark, shop.root)
-    assert P.W.read_exported_events(shop.spark, shop.root).count() == before == 16
+    assert P.W.read_exported_events(shop.spark, shop.root).count() == before == 10
 
 
+@pytest.mark.slow
 def test_blocked_deliveries(shop):
     shop.close(X.base_rows(), "b1")
     conflict = change(X.base_rows(), 0, quantity="9")
@@ -141,6 +130,7 @@ def test_blocked_deliveries(shop):
     assert shop.revenue() == Decimal("64.00")
 
 
+@pytest.mark.slow
 def test_delivery_issues(shop):
     def missing(manifest, texts):
         texts.pop("S02.csv")
@@ -179,6 +169,7 @@ def test_delivery_issues(shop):
         assert set(attempt.codes()) == codes
 
 
+@pytest.mark.slow
 def test_validate_only_and_time_zone(shop):
     rows = change(X.base_rows(), 1, sold_at="2026-01-02T03:00:00Z")
     rows = change(rows, 0, sold_at="2026-01-02T02:59:59Z", sale_id="A0")
@@ -192,6 +183,7 @@ def test_validate_only_and_time_zone(shop):
     ]
 
 
+@pytest.mark.slow
 def test_extremes_and_empty(shop):
     rows = [
         X.line("S01", "A1", "1", "P01", "1000000", "999999999.99", "0", sold_at="0001-01-02T12:00:00Z"),
@@ -211,6 +203,7 @@ def test_extremes_and_empty(shop):
     assert frames["silver"].count() == 3
 
 
+@pytest.mark.slow
 def test_profile_after_correction(shop):
     shop.close(X.base_rows(), "b1")
     rows = [
