@@ -9,10 +9,12 @@ Two documents link when ``100 * |A n B| >= 75 * |A u B|`` for their sets of word
 3. Linked sets of sizes ``m <= n`` share one of the rarest ``n - ceil(0.75 n) + 1`` shingles of both,
    and their size bands (powers of 4/3) are equal or next to each other. A class posts those
    shingles; a tile is one shingle in one band and the band below.
-4. First round: in a tile everyone meets the smallest class of the band. Pairs whose parity bitmaps
-   differ in more bits than two linked sets can differ in elements are dropped; the rest are verified
-   by intersecting sorted arrays. Connected components follow.
-5. Second round: only pairs of *different* components of a tile are left; position and bitmap bounds
+   Of shingles that the same classes post, only the one that comes first in their order stays: it has
+   the same tiles and the widest bound.
+4. Leader rounds: in a tile everyone of another component meets one leader, a different one in each
+   round. Pairs whose parity bitmaps differ in more bits than two linked sets can differ in elements
+   are dropped; the rest are verified by intersecting sorted arrays. Connected components follow.
+5. Last round: all pairs of *different* components of a tile that are left; position and bitmap bounds
    drop most in the tile, the rest are verified. A family of thousands of near copies is one component
    by then and costs nothing, while no link between components can be missed.
 
@@ -41,7 +43,8 @@ WIDTH, NUM, DEN = 5, 3, 4
 TILE = 4096
 _BUCKET_BYTES, _LEAST_BUCKETS = 16 << 20, 64
 _HASH_BITS = 48
-_LEAST_SIGN, _MOST_SIGN = 8, 256
+_LEAST_SIGN, _MOST_SIGN = 16, 1024
+_LEADER_ROUNDS = 2
 
 
 def row_sets(chunk: pa.RecordBatch, width: int) -> list[np.ndarray]:
@@ -62,8 +65,8 @@ def row_sets(chunk: pa.RecordBatch, width: int) -> list[np.ndarray]:
 
 
 def signature(own: np.ndarray) -> bytes:
-    """Parity bitmap of a set: about one bit per element, a power of two of bytes."""
-    size = min(max(_LEAST_SIGN, 1 << int(len(own) // 8).bit_length()), _MOST_SIGN)
+    """Parity bitmap of a set: at least four bits per element up to 2048, a power of two of bytes."""
+    size = min(max(_LEAST_SIGN, 1 << int(len(own) // 2).bit_length()), _MOST_SIGN)
     bits = np.bincount((own >> np.uint64(20)).astype(np.int64) & (size * 8 - 1), minlength=size * 8) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -213,9 +216,9 @@ def band(size: np.ndarray) -> np.ndarray:
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rarest shingles of each class, with the rank they have in it."""
     for batch in batches:
-        ids, hashes, ranks, sizes, signs = [], [], [], [], []
-        columns = [batch.column(x) for x in ("doc_id", "n", "copies", "sign")]
-        for i, (doc, n, copies, sign) in enumerate(zip(*(x.to_pylist() for x in columns), strict=True)):
+        ids, hashes, ranks, sizes = [], [], [], []
+        columns = [batch.column(x) for x in ("doc_id", "n", "copies")]
+        for i, (doc, n, copies) in enumerate(zip(*(x.to_pylist() for x in columns), strict=True)):
             counts = np.asarray(batch.column("counts")[i].values)
             # Shingles that only copies of this class hold cannot link it; they come first.
             others = counts > copies
@@ -228,7 +231,6 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes.append(own)
             ranks.append(alone + np.arange(len(own)))
             sizes += [n] * len(own)
-            signs += [sign] * len(own)
         if not ids:
             continue
         yield pa.RecordBatch.from_arrays(
@@ -238,9 +240,8 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(sizes, pa.int64()),
                 pa.array(np.concatenate(ranks)),
                 pa.array(band(np.array(sizes, np.float64))),
-                pa.array(signs, pa.binary()),
             ],
-            names=["shingle", "doc_id", "n", "rank", "band", "sign"],
+            names=["shingle", "doc_id", "n", "rank", "band"],
         )
 
 
@@ -319,54 +320,70 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(_verify, "a long, b long")
 
 
+def _met(postings: DataFrame) -> DataFrame:
+    """Postings of shingles with several classes, one shingle for each set of classes."""
+    groups = postings.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("one"),
+        F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("two"),
+        # All classes of the group rank its shingles alike, so one of them tells the first.
+        F.min(F.struct("doc_id", "rank"))["rank"].alias("rank"),
+    )
+    kept = groups.filter("size > 1").groupBy("size", "one", "two").agg(F.min(F.struct("rank", "shingle")).alias("f"))
+    return postings.join(kept.select(F.col("f.shingle").alias("shingle")), "shingle")
+
+
 def _tiles(postings: DataFrame) -> DataFrame:
     """Each posting in the tile of its band, and as a guest in the tile of the band above."""
     tiles = F.array(
         F.struct(F.col("band").alias("tile"), F.lit(True).alias("home")),
         F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("home")),
     )
-    return postings.withColumn("at", F.explode(tiles)).select(
-        "shingle", "at.tile", "at.home", "doc_id", "n", "rank", "sign"
-    )
+    return postings.withColumn("at", F.explode(tiles)).select("*", "at.tile", "at.home").drop("at", "band")
+
 
+def _known(postings: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Postings with the component of their class so far."""
+    if parts is None:
+        return postings.withColumn("component", F.col("doc_id"))
+    named = postings.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return named.withColumn("component", F.coalesce("component", "doc_id"))
 
-def _first_pairs(postings: DataFrame) -> DataFrame:
-    """Everyone of a tile with the smallest class of the tile's band."""
-    leader = F.min(F.struct("n", "doc_id", "sign")).alias("leader")
-    leaders = postings.groupBy("shingle", F.col("band").alias("tile")).agg(leader)
-    met = _tiles(postings).join(leaders, ["shingle", "tile"]).filter("doc_id <> leader.doc_id")
+
+def _leader_pairs(known: DataFrame, turn: int) -> DataFrame:
+    """Everyone of a tile with one leader of the tile's band and another component."""
+    order = F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "component")
+    leaders = known.groupBy("shingle", F.col("band").alias("tile")).agg(F.min(order).alias("leader"))
+    met = _tiles(known).join(leaders, ["shingle", "tile"]).filter("component <> leader.component")
     met = met.filter("4 * least(n, leader.n) >= 3 * greatest(n, leader.n)")
-    low = F.col("doc_id") < F.col("leader.doc_id")
-
-    def side(name: str) -> tuple:
-        mine, theirs = F.col(name), F.col(f"leader.{name}")
-        return F.when(low, mine).otherwise(theirs), F.when(low, theirs).otherwise(mine)
-
-    out = {}
-    for name, label in (("doc_id", ""), ("n", "_n"), ("sign", "_sign")):
-        out[f"a{label}"], out[f"b{label}"] = side(name)
-    pairs = met.select(*(column.alias(name) for name, column in out.items()))
-    pairs = pairs.groupBy("a", "b").agg(*(F.first(x).alias(x) for x in ("a_n", "b_n", "a_sign", "b_sign")))
-    return pairs.mapInArrow(_bitmap_pairs, "a long, b long")
-
-
-def _second_pairs(postings: DataFrame, parts: DataFrame, tile: int) -> DataFrame:
-    """Pairs of different components that meet in a tile."""
-    known = postings.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    known = known.withColumn("component", F.coalesce("component", "doc_id"))
-    rows = _tiles(known.drop("component")).join(
-        known.select("doc_id", "component").distinct(), "doc_id"
-    )
+    low, high = F.least("doc_id", "leader.doc_id"), F.greatest("doc_id", "leader.doc_id")
+    return met.select(low.alias("a"), high.alias("b")).distinct()
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose bitmaps allow a link."""
+    for side in ("a", "b"):
+        own = classes.select(
+            F.col("doc_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("sign").alias(f"{side}_sign")
+        )
+        pairs = pairs.join(own, side)
+    return pairs.select("a", "b", "a_n", "b_n", "a_sign", "b_sign").mapInArrow(_bitmap_pairs, "a long, b long")
+
+
+def _last_pairs(known: DataFrame, classes: DataFrame, tile: int) -> DataFrame:
+    """All pairs of different components that meet in a tile and that the bounds allow."""
+    rows = _tiles(known)
     sizes = rows.groupBy("shingle", "tile").agg(
         F.count(F.lit(1)).alias("size"),
         F.max("home").alias("any_home"),
         (F.min("component") != F.max("component")).alias("open"),
     )
-    blocks = F.ceil(F.col("size") / tile).cast("int")
-    rows = rows.join(sizes.filter("open AND any_home"), ["shingle", "tile"]).withColumn("blocks", blocks)
+    sizes = sizes.filter("open AND any_home").select(
+        "shingle", "tile", F.ceil(F.col("size") / tile).cast("int").alias("blocks")
+    )
+    rows = rows.join(sizes, ["shingle", "tile"]).join(classes.select("doc_id", "sign"), "doc_id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     return rows.groupBy("shingle", "tile", "one", "two").applyInArrow(_block_pairs, "a long, b long").distinct()
 
@@ -388,21 +405,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, tile: int = TILE) -> Da
         .groupBy("part")
         .applyInArrow(_by_document, "doc_id long, hashes array<long>, counts array<long>")
     )
-    postings = shared.join(classes.select("doc_id", "n", "copies", "sign"), "doc_id").mapInArrow(
-        _post, "shingle long, doc_id long, n long, rank long, band long, sign binary"
+    postings = shared.join(classes.select("doc_id", "n", "copies"), "doc_id").mapInArrow(
+        _post, "shingle long, doc_id long, n long, rank long, band long"
     )
-    postings = written(postings, "postings")
-    postings = postings.join(
-        postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), "shingle"
-    ).drop("met")
+    postings = written(_met(written(postings, "postings")), "tiles")
     wanted = postings.select("doc_id").distinct()
-    sets = written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_pack_sets(width), "doc_id long, shingles binary"), "shingles")
-    sets = sets.dropDuplicates(["doc_id"])
-    tried = written(_first_pairs(postings), "pairs")
-    links = written(_linked(tried, sets), "links")
-    parts = written(components(links), "parts")
-    more = _second_pairs(postings, parts, tile).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(written(_linked(more, sets), "links"))
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_pack_sets(width), "doc_id long, shingles binary")
+    sets = written(sets, "shingles").dropDuplicates(["doc_id"])
+    tried = links = parts = None
+    for turn in range(_LEADER_ROUNDS):
+        pairs = _leader_pairs(_known(postings, parts), turn)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        found = written(_linked(_possible(pairs, classes), sets), "links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        parts = written(components(links), "parts")
+    pairs = _last_pairs(_known(postings, parts), classes, tile).join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(written(_linked(pairs, sets), "links"))
     parts = components(links).select(F.col("node").alias("rep"), F.col("component").alias("root"))
     named = classes.select("n", "low", "high", F.col("doc_id").alias("rep")).join(parts, "rep", "left")
     named = named.select("n", "low", "high", F.coalesce("root", "rep").alias("root"))
