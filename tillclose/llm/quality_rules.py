@@ -128,7 +128,9 @@ def fences(counts: DataFrame) -> DataFrame:
     total = sketches.agg(*(F.kll_merge_agg_double(k, F.lit(SKETCH_SIZE)).alias(k) for k in measures))
 
     def fence(name: str) -> Column:
-        low, high = (F.kll_sketch_get_quantile_double(name, F.lit(q)) for q in (0.25, 0.75))
+        # A sketch of no values has no quantiles: no fence.
+        some = F.kll_sketch_get_n_double(name) > 0
+        low, high = (F.when(some, F.kll_sketch_get_quantile_double(name, F.lit(q))) for q in (0.25, 0.75))
         return (high + REACH * F.greatest(high - low, F.lit(SPREADS[name]))).alias(f"most_{name}")
 
     limits = [fence(k) for k in measures]
