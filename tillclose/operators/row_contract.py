@@ -145,11 +145,11 @@ def timestamp_rules() -> Rules:
 
 
 def width_rules() -> Rules:
-    return [("ROW_WIDTH_MISMATCH", ~F.col("width_ok"))]
+    return [("ROW_WIDTH_MISMATCH", ~F.coalesce("width_ok", F.lit(False)))]
 
 
 def header_rules() -> Rules:
-    return [("SCHEMA_MISMATCH", ~F.col("header_ok"))]
+    return [("SCHEMA_MISMATCH", ~F.coalesce("header_ok", F.lit(False)))]
 
 
 def all_rules() -> Rules:

@@ -91,7 +91,7 @@ def configure_references(spark: SparkSession, root: str, catalog: str, schedule:
     found = DOC.check_catalog(catalogs).unionByName(
         DOC.check_schedule(schedules, DOC.active_stores(catalogs))
     )
-    codes = [row["code"] for row in found.select("code").distinct().limit(50).collect()]
+    codes = [row["code"] for row in found.select("code").distinct().collect()]
     if codes:
         raise ValueError(f"invalid references: {sorted(codes)}")
     canonical = F.concat_ws(
@@ -113,10 +113,11 @@ def configure_references(spark: SparkSession, root: str, catalog: str, schedule:
 
 
 # ---- ingestion --------------------------------------------------------------------------
-def _collect_issues(attempt: Attempt, issues: DataFrame, limit: int = 1000) -> None:
-    """Issues onto the attempt record; all of them are in the run's quality folder."""
+def _collect_issues(attempt: Attempt, issues: DataFrame) -> None:
+    """All issues onto the attempt record. Row errors are rolled up per code before, so there are at
+    most a few per file or store of the manifest, whose size the budget bounds."""
     wanted = ["code", "severity", "store_id", "file", "line", "count"]
-    for row in issues.select(*wanted).orderBy("code", "store_id", "file").limit(limit).collect():
+    for row in issues.select(*wanted).orderBy("code", "store_id", "file").collect():
         attempt.add(**{k: v for k, v in row.asDict().items() if v is not None})
 
 
@@ -126,11 +127,17 @@ def _document_issues(found: DataFrame, key: str, batch_id: str) -> DataFrame:
 
 
 def _ingest(
-    spark: SparkSession, root: str, folder: str, run_path: str, attempt: Attempt, reference: Row
+    spark: SparkSession,
+    root: str,
+    folder: str,
+    run_path: str,
+    attempt: Attempt,
+    reference: Row,
+    budget: dict[str, int],
 ) -> dict | None:
     """Check the delivery and write bronze; None when it is over budget."""
     sizes = IN.file_sizes(spark, folder).withColumn("batch_id", F.lit("delivery"))
-    over = D.input_budget(sizes)
+    over = D.input_budget(sizes, **budget)
     if not over.isEmpty():
         attempt.batch_id = f"incomplete-{attempt.run_id}"
         _collect_issues(attempt, over)
@@ -443,13 +450,18 @@ def close_batch(
     folder: str,
     validate_only: bool = False,
     run_id: str | None = None,
+    budget: dict[str, int] | None = None,
 ) -> Attempt:
-    """Process one delivery folder against the state below ``root``."""
+    """Process one delivery folder against the state below ``root``.
+
+    ``budget`` replaces limits of ``operators.delivery.input_budget``: ``max_files``,
+    ``max_file_bytes``, ``max_json_bytes``, ``max_total_bytes``.
+    """
     prepare(spark)
     attempt = Attempt(run_id or uuid.uuid4().hex, _now())
     attempt.job_mode = "validate" if validate_only else "publish"
     try:
-        _run(spark, root, folder, attempt, validate_only)
+        _run(spark, root, folder, attempt, validate_only, budget or {})
     except Exception as error:
         attempt.state = "TECHNICAL_FAILURE"
         attempt.add("TECHNICAL_FAILURE", file=type(error).__name__)
@@ -460,7 +472,7 @@ def close_batch(
     return attempt
 
 
-def _run(spark, root: str, folder: str, attempt: Attempt, validate_only: bool) -> None:
+def _run(spark, root: str, folder: str, attempt: Attempt, validate_only: bool, budget: dict[str, int]) -> None:
     run_path = f"{root}/runs/run_id={attempt.run_id}"
     official = TB.load_publication(spark, root)
     reference = _references(spark, root).first()
@@ -469,7 +481,7 @@ def _run(spark, root: str, folder: str, attempt: Attempt, validate_only: bool) -
         attempt.add("OPERATOR_REFERENCES_MISSING")
         return
     with _Stage(attempt, "ingestion"):
-        prepared = _ingest(spark, root, folder, run_path, attempt, reference)
+        prepared = _ingest(spark, root, folder, run_path, attempt, reference, budget)
     if any(issue["severity"] == "ERROR" for issue in attempt.issues) or prepared is None:
         attempt.state = "BLOCKED"
         return

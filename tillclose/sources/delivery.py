@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,21 +15,47 @@ _CELLS = [f"c{i}" for i in range(1, len(BUSINESS_FIELDS) + 1)]
 _CORRUPT = "_corrupt"
 
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def _relative(path: Column, folder: str) -> Column:
     """Path below the folder, whatever scheme the file system adds in front."""
-    base = folder.split("://")[-1].rstrip("/") + "/"
-    if base.startswith("file:"):
-        base = base[len("file:") :]
-    return F.substring_index(path, base, -1)
+    base = re.sub(_SCHEME, "", folder).rstrip("/") + "/"
+    if not base.startswith("/"):
+        return F.substring_index(path, base, -1)
+    plain = F.regexp_replace(path, _SCHEME, "")
+    return F.when(F.startswith(plain, F.lit(base)), F.substring(plain, len(base) + 1, 1 << 20)).otherwise(plain)
+
+
+def _decoded(path: Column) -> Column:
+    """A path as it is named; the metadata column has it as a URL."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _record_cells(record: Column) -> Column:
+    """Cells of one CSV record, quotes removed."""
+    ended = F.concat(F.regexp_replace(record, r"\r?\n?\z", ""), F.lit(","))
+    cells = F.regexp_extract_all(ended, F.lit('("(?:[^"]++|"")*+"|[^,]*+),'), F.lit(1))
+    return F.transform(
+        cells,
+        lambda c: F.when(
+            F.startswith(c, F.lit('"')), F.replace(F.substring(c, 2, F.length(c) - 2), F.lit('""'), F.lit('"'))
+        ).otherwise(c),
+    )
+
+
+def _strict(content: Column) -> Column:
+    """Whether every cell that begins with a quote ends with one, right before a comma or line end."""
+    rest = F.regexp_replace(content, r'(\A|[,\n])"(?:[^"]++|"")*+"(?=[,\r\n]|\z)', "$1")
+    return ~F.rlike(rest, F.lit(r'(\A|[,\n])"'))
 
 
 def file_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """Every file below a folder: relative path, bytes, SHA-256, header cells, and whether the
-    text is valid UTF-8 with balanced quotes. Hidden files of the file system are left out."""
+    text is valid UTF-8 with well-formed quotes. Hidden files of the file system are left out."""
     content = F.col("content").cast("string")
     first = F.element_at(F.split(content, r"\r?\n", 2), 1)
-    quotes = F.length(content) - F.length(F.replace(content, F.lit('"'), F.lit("")))
-    readable = F.coalesce(F.is_valid_utf8(content), F.lit(False)) & (quotes % 2 == 0)
+    readable = F.coalesce(F.is_valid_utf8(content) & _strict(content), F.lit(False))
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -38,7 +66,7 @@ def file_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> Data
             F.col("length").alias("bytes"),
             F.sha2("content", 256).alias("sha256"),
             readable.alias("readable"),
-            F.split(F.replace(first, F.lit('"'), F.lit("")), ",").alias("header"),
+            _record_cells(first).alias("header"),
         )
     )
 
@@ -74,8 +102,10 @@ def read_delivery_csv(
 
     Quoted cells may hold line breaks, so a file is read by one task; the contract limits a
     file to 64 MiB. The line is counted within the file from the record order and the breaks
-    inside earlier records. A row whose width differs from the header fills the corrupt
-    column and keeps its raw text. Under a wrong header the cells are matched by name.
+    inside earlier records. A record of another width than the contract's fills the corrupt
+    column, from which its cells are split, so each record is held against its own header:
+    under a wrong header all cells are matched by name (the last of equal names counts), an
+    absent field is empty, and the width is right if there are as many cells as header cells.
     Pass a stored ``inventory`` of the folder where there is one, so files are read once.
     """
     if inventory is None:
@@ -93,42 +123,40 @@ def read_delivery_csv(
         .csv(folder)
         .select("*", F.col("_metadata.file_path").alias("_file"))
         .withColumn("_order", F.monotonically_increasing_id())
-        .withColumn("source_file", _relative(F.col("_file"), folder))
+        .withColumn("source_file", _relative(_decoded(F.col("_file")), folder))
     )
     inside = F.lit(0)
     for name in _CELLS:
         inside = inside + _breaks(F.col(name))
-    broken_inside = F.greatest(_breaks(F.col(_CORRUPT)), F.lit(0))
+    broken_inside = _breaks(F.regexp_replace(F.col(_CORRUPT), r"\r?\n\z", ""))
     earlier = Window.partitionBy("source_file").orderBy("_order").rowsBetween(
         Window.unboundedPreceding, -1
     )
     lines = F.when(F.col(_CORRUPT).isNull(), inside).otherwise(broken_inside) + 1
     headers = file_headers(inventory).withColumnRenamed("path", "source_file")
-    cells = F.array(*_CELLS)
-    wrong_width = F.col(_CORRUPT).isNotNull()
+    given = F.transform(F.array(*_CELLS), lambda c: F.coalesce(c, F.lit("")))
+    cells = F.when(F.col(_CORRUPT).isNull(), given).otherwise(_record_cells(F.col(_CORRUPT)))
 
     def cell(position: int, name: str) -> Column:
-        by_name = F.try_element_at(cells, F.array_position("header", name).cast("int"))
+        last = F.size("header") + 1 - F.nullif(F.array_position(F.reverse("header"), name), F.lit(0))
+        at = F.when(F.col("header_ok"), F.lit(position + 1)).otherwise(last.cast("int"))
         # An empty or absent cell is the empty text.
-        value = F.when(F.col("header_ok"), F.col(_CELLS[position])).otherwise(by_name)
-        return F.coalesce(value, F.lit(""))
+        return F.coalesce(F.try_element_at("_cells", at), F.lit(""))
 
-    values = F.transform(cells, lambda c: F.coalesce(c, F.lit("")))
     return (
         scanned.withColumn("_lines", lines)
         .withColumn(
             "source_line", (F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) + 2).cast("int")
         )
+        .withColumn("_cells", cells)
         .join(headers, "source_file", "left")
         .select(
             *(cell(i, name).alias(name) for i, name in enumerate(BUSINESS_FIELDS)),
             "source_file",
             "source_line",
-            (~wrong_width & (F.size("header") <= len(BUSINESS_FIELDS))).alias("width_ok"),
-            F.col("header_ok"),
-            F.when(wrong_width, F.to_json(F.struct("header", F.col(_CORRUPT).alias("record"))))
-            .otherwise(F.to_json(F.struct("header", values.alias("values"))))
-            .alias("raw_payload"),
+            F.coalesce(F.size("_cells") == F.size("header"), F.lit(False)).alias("width_ok"),
+            F.coalesce(F.col("header_ok"), F.lit(False)).alias("header_ok"),
+            F.to_json(F.struct("header", F.col("_cells").alias("values"))).alias("raw_payload"),
         )
     )
 
@@ -141,7 +169,7 @@ def read_documents(spark: SparkSession, folder: str, name: str) -> DataFrame:
         .option("pathGlobFilter", name)
         .text(folder)
         .select(
-            _relative(F.col("_metadata.file_path"), folder).alias("path"),
+            _relative(_decoded(F.col("_metadata.file_path")), folder).alias("path"),
             F.col("value").alias("document"),
         )
     )

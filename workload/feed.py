@@ -22,19 +22,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """A table in fewer splits than there are cores is dealt out before heavy row work; a table
-    of many splits, as on a cluster, is left as it is."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def feed_cents(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate",
     )
-    lines = spread(lines)
+    # Dealt by the key of the joins that follow.
+    lines = lines.repartition("l_orderkey")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     percent = F.round(F.col("l_discount") * 100).cast("bigint")
     return (
