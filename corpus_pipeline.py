@@ -31,13 +31,12 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     groups = jaccard.near_duplicates(docs)
     go = groups.filter("doc_id <> component_id OR (component_id IS NULL AND doc_id IS NOT NULL)")
     go = written(go.select(F.col("doc_id").alias("_d_id")).distinct(), "copies")
-    kept = docs.join(go, docs["doc_id"] == go["_d_id"], "left_anti")
-    repeated = written(
-        docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_r_id")), "repeated"
-    )
-    match = kept["doc_id"].eqNullSafe(repeated["_r_id"])
-    once = kept.join(repeated, match, "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, match, "left_anti").unionByName(once)
+    ids = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_r_id"))
+    repeated = written(ids, "repeated")
+    match = docs["doc_id"].eqNullSafe(repeated["_r_id"])
+    once = docs.join(repeated, match, "left_semi").dropDuplicates(["doc_id"])
+    rows = docs.join(repeated, match, "left_anti").unionByName(once)
+    return rows.join(go, rows["doc_id"] == go["_d_id"], "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
