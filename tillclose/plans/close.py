@@ -1,8 +1,9 @@
 """Closing a delivery end to end: check, resolve, aggregate, reconcile, profile, publish.
 
-Only counts and one-row totals reach the driver. Each stage reads what the stage before has
-written, so a lost executor replays one stage. The history grows by what a batch adds; the
-state advances from the previous state, and gold is rebuilt for the touched days only.
+One-row totals, the issues and coverage lists of the delivery and the official manifest reach
+the driver; rows never do. Each stage reads what the stage before has written, so a lost
+executor replays one stage. The history grows by what a batch adds; the state advances from
+the previous state, and gold is recomputed for the touched days only.
 """
 
 from __future__ import annotations
