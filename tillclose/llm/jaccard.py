@@ -393,7 +393,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, tile: int = TILE) -> Da
     docs = keyed(docs)
     profile = written(docs.mapInArrow(_profile(width), "doc_id long, n long, low long, high long, sign binary"), "sets")
     filled = profile.filter("n > 0")
-    classes = filled.groupBy("n", "low", "high").agg(
+    # A document counts once, as in the document frequencies, also if its row is repeated.
+    once = filled.groupBy("n", "low", "high", "doc_id").agg(F.first("sign").alias("sign"))
+    classes = once.groupBy("n", "low", "high").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("sign").alias("sign")
     )
     classes = written(classes, "classes")
