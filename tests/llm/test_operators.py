@@ -143,6 +143,14 @@ def test_jaccard_of_a_borderline_family(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows)
 
 
+def test_jaccard_counts_a_repeated_row_once(spark):
+    text = " ".join(f"r{i}" for i in range(60))
+    rows = [(1, text)] * 4 + [(2, text + " more"), (3, "less " + text)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows)
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
