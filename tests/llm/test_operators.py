@@ -222,10 +222,15 @@ def test_chat(spark):
     by = defaultdict(list)
     for c, t, r, x in rows:
         by[c].append(((t is not None, t or 0), r or "", x or ""))
-    for budget, history in ((2048, 512), (120, 40), (1, 1)):
-        formatted = chat.windows(turns, JSON, budget, history)
-        seen = {r.conv_id: r for r in chat.read_back(formatted).collect()}
-        assert set(seen) == set(by)
+    for budget, history, segment in ((2048, 512, 4096), (120, 40, 4096), (120, 40, 4), (1, 1, 1)):
+        formatted = chat.windows(turns, JSON, budget, history, segment)
+        formatted.persist()
+        read = chat.read_back(formatted).collect()
+        assert sorted(map(repr, read)) == sorted(
+            map(repr, chat.round_trip(turns, JSON, budget, history, segment).collect())
+        )
+        seen = {r.conv_id: r for r in read}
+        assert set(seen) == set(by) and len(read) == len(by)
         for c, own in by.items():
             own.sort()
             loss = "".join(x for _, r, x in own if r == "assistant")
@@ -233,9 +238,22 @@ def test_chat(spark):
             assert r.n_turns == len(own)
             assert r.turns_sha256 == sha("".join(f"{a}\n{x}\n" for _, a, x in own))
             assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
+            own_windows = [w for w in formatted.collect() if w.conv_id == c]
+            assert {w.segment for w in own_windows} == set(range(-(-len(own) // segment)))
+            for w in own_windows:
+                shown = chat.parsed(w.text)
+                if own[0][1] == "system":
+                    assert shown[0] == own[0][1:]
+                if w.window == 0:
+                    # The turns before a segment are those that the window repeats.
+                    told = shown[own[0][1] == "system" and w.segment > 0 : w.n_repeated]
+                    start = w.segment * segment
+                    assert told == [x[1:] for x in own[start - len(told) : start]]
         for w in formatted.collect():
             assert w.tokens <= budget or w.n_new == 1
+        formatted.unpersist()
     assert chat.read_back(chat.windows(turns.limit(0), JSON)).count() == 0
+    assert chat.round_trip(turns.limit(0), JSON).count() == 0
 
 
 def test_spans_repeat_history_within_the_budget():

@@ -8,11 +8,16 @@ once; repeated turns are masked out. A turn longer than the budget gets a window
 The template is ``[TURN role]text</s>`` per turn. Inside roles and texts, a backslash goes before every
 backslash, ``[`` and ``<``, so no text can contain a mark, and removing it gives the text back.
 
-A conversation is the unit of work: its turns meet in one task, which holds one conversation at a time.
+The unit of work is a segment: ``SEGMENT`` consecutive turns of a conversation, and a segment begins a
+window. Longer conversations are sorted and numbered over many tasks; a later segment also gets the
+system turn and the turns before it that its history can repeat. No task holds a longer conversation.
+Digests of a whole conversation are a chain over its segments by definition of the hash, so for longer
+ones that last step streams its segments in order, one at a time in memory.
 
-Nulls and edge cases: a null text or role is empty; turns are ordered by turn (nulls first), then role
-and text, so ties have one order and repeated rows stay repeated turns; rows with a null ``conv_id`` are
-one conversation; an empty table gives no windows. Other columns do not travel.
+Nulls and edge cases: a null text or role is empty; turns are ordered by turn (nulls first), role, the
+first 64 characters of the text, then a hash of it, so ties have one order and repeated rows stay
+repeated turns; rows with a null ``conv_id`` are one conversation; an empty table gives no windows.
+Other columns do not travel.
 """
 
 from __future__ import annotations
@@ -20,25 +25,50 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from tillclose.llm.frames import written
 from tillclose.llm.token_counts import counts
 
-BUDGET, HISTORY = 2048, 512
+BUDGET, HISTORY, SEGMENT = 2048, 512, 4096
+_TIE = 64
 _SPECIAL, _ESCAPED = re.compile(r"[\\\[<]"), re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"\[TURN ((?:\\.|[^\\\[<\]])*)\]((?:\\.|[^\\\[<])*)</s>", re.DOTALL)
 _OPEN, _MIDDLE, _CLOSE = "[TURN ", "]", "</s>"
 WINDOWS = (
-    "conv_id long, window int, text string, tokens long, n_repeated int, n_new int, "
-    "loss array<struct<start:int,end:int>>"
+    "conv_id long, segment long, n_segments long, window int, text string, tokens long, "
+    "n_repeated int, n_new int, loss array<struct<start:int,end:int>>"
+)
+_WINDOW = pa.schema(
+    [
+        ("conv_id", pa.int64()),
+        ("segment", pa.int64()),
+        ("n_segments", pa.int64()),
+        ("window", pa.int32()),
+        ("text", pa.string()),
+        ("tokens", pa.int64()),
+        ("n_repeated", pa.int32()),
+        ("n_new", pa.int32()),
+        ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+    ]
 )
 DIGESTS = (
     "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
     "formatted_chars long, n_windows long, max_tokens long"
 )
+#: A segment read back: digests if it is the whole conversation, else what the digests go over.
+_SEGMENTS = f"{DIGESTS}, segment long, n_segments long, turns binary, loss binary"
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
 
 
 def escaped(text: str) -> str:
@@ -54,11 +84,14 @@ def _role(role: str) -> str:
     return escaped(role).replace("]", "\\]")
 
 
-def spans(sizes: list[int], system: bool, budget: int, history: int) -> list[tuple[int, int, int]]:
-    """``(history start, first new, end)`` of every window over turns of these sizes."""
+def spans(
+    sizes: list[int], system: bool, budget: int, history: int, first: int = 0
+) -> list[tuple[int, int, int]]:
+    """``(history start, first new, end)`` of every window over turns of these sizes; turns before
+    ``first`` are only repeated."""
     sums = [0, *accumulate(sizes)]
     head = sizes[0] if system else 0
-    first, out = 0, []
+    out = []
     while first < len(sizes):
         own = 1 if system and first > 0 else 0
         room = budget - (head if own else 0)
@@ -74,15 +107,24 @@ def spans(sizes: list[int], system: bool, budget: int, history: int) -> list[tup
 
 def _format(path: str, budget: int, history: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["turn", "role", "text", "conv_id"]).to_pylist()
-        rows.sort(key=lambda r: (r["turn"] is not None, r["turn"] or 0, r["role"] or "", r["text"] or ""))
-        turns = [(r["role"] or "", r["text"] or "") for r in rows]
+        rows = table.select(list(_TURNS)).to_pylist()
+        segment, n_segments, conv = (rows[0][x] for x in ("segment", "n_segments", "conv_id"))
+        # Where a conversation has one segment, its turns are numbered here.
+        rows.sort(
+            key=lambda r: (
+                r["position"] or 0, r["turn"] is not None, r["turn"] or 0, r["role"], r["text"][:_TIE], r["tie"]
+            )
+        )
+        begin = sum(r["guest"] for r in rows)
+        if begin == len(rows):
+            return _WINDOW.empty_table()
+        turns = [(r["role"], r["text"]) for r in rows]
         heads = [f"{_OPEN}{_role(role)}{_MIDDLE}" for role, _ in turns]
         bodies = [escaped(text) for _, text in turns]
         sizes = counts(path).totals([f"{h}{b}{_CLOSE}" for h, b in zip(heads, bodies, strict=True)])
-        system = turns[0][0] == "system"
+        system = turns[0][0] == "system" and (rows[0]["position"] or 0) == 0
         out = []
-        for number, (back, first, end) in enumerate(spans(sizes, system, budget, history)):
+        for number, (back, first, end) in enumerate(spans(sizes, system, budget, history, begin)):
             shown = [*([0] if system and first > 0 else []), *range(back, end)]
             parts, loss, at = [], [], 0
             for i in shown:
@@ -93,19 +135,62 @@ def _format(path: str, budget: int, history: int):
                     loss.append({"start": start, "end": at - len(_CLOSE)})
             tokens = sum(sizes[i] for i in shown)
             new = end - first
-            out.append((rows[0]["conv_id"], number, "".join(parts), tokens, len(shown) - new, new, loss))
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), span]
-        names = ["conv_id", "window", "text", "tokens", "n_repeated", "n_new", "loss"]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            values = (conv, segment, n_segments, number, "".join(parts), tokens, len(shown) - new, new, loss)
+            out.append(dict(zip(_WINDOW.names, values, strict=True)))
+        return pa.Table.from_pylist(out, _WINDOW)
 
     return run
 
 
-def windows(turns: DataFrame, path: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Formatted windows of conversations ``(conv_id, turn, role, text)``."""
-    own = turns.select("conv_id", "turn", "role", "text")
-    return own.groupBy("conv_id").applyInArrow(_format(path, budget, history), WINDOWS)
+_TURNS = ("conv_id", "turn", "role", "text", "tie", "position", "segment", "n_segments", "guest")
+
+
+def segments(turns: DataFrame, history: int = HISTORY, segment: int = SEGMENT) -> DataFrame:
+    """Turns with the segment they are new in, and once more as guests of later segments that may
+    repeat them."""
+    own = turns.select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("tie", F.xxhash64("text"))
+    long = own.groupBy("conv_id").count().filter(F.col("count") > segment)
+    long = written(long.select(F.col("conv_id").alias("_c"), F.col("count").alias("total")), "long")
+    match = F.col("conv_id").eqNullSafe(F.col("_c"))
+    one = own.join(long, match, "left_anti").selectExpr(
+        "*", "CAST(NULL AS long) AS position", "0L AS segment", "1L AS n_segments", "FALSE AS guest"
+    )
+    # Equal turns are told apart by a row number, so that a range can end between them.
+    many = own.join(long, match).drop("_c").withColumn("row", F.monotonically_increasing_id())
+    order = ["conv_id", "turn", "role", F.substring("text", 1, _TIE), "tie", "row"]
+    many = many.repartitionByRange(*order).sortWithinPartitions(*order)
+    many = many.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    many = written(many.drop("row"), "ordered")
+    # One row per conversation and task: where its turns begin there, and how many come before.
+    runs = many.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("size"), F.min("at").alias("low"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        F.col("conv_id").alias("_c"),
+        F.col("part").alias("_p"),
+        (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("low")).alias("shift"),
+    )
+    runs = written(runs, "runs")
+    many = many.join(runs, match & (F.col("part") == F.col("_p"))).withColumn("position", F.expr("at + shift"))
+    many = many.withColumn("segment", F.expr(f"position DIV {segment}"))
+    many = many.withColumn("n_segments", F.expr(f"(total + {segment - 1}) DIV {segment}"))
+    reach = min(history, segment - 1)
+    more = many.filter("segment + 1 < n_segments").filter(f"position % {segment} >= {segment - reach}")
+    more = more.withColumn("segment", F.expr("segment + 1"))
+    heads = many.filter("position = 0 AND role = 'system'")
+    heads = heads.withColumn("segment", F.explode(F.expr("sequence(1L, n_segments - 1)")))
+    guests = more.unionByName(heads).withColumn("guest", F.lit(True))
+    many = many.withColumn("guest", F.lit(False)).unionByName(guests)
+    return one.select(*_TURNS).unionByName(many.select(*_TURNS))
+
+
+def windows(
+    turns: DataFrame, path: str, budget: int = BUDGET, history: int = HISTORY, segment: int = SEGMENT
+) -> DataFrame:
+    """Formatted windows of conversations ``(conv_id, turn, role, text)``, by segment and window."""
+    groups = segments(turns, history, segment).groupBy("conv_id", "segment")
+    return groups.applyInArrow(_format(path, budget, history), WINDOWS)
 
 
 def parsed(text: str) -> list[tuple[str, str]]:
@@ -122,32 +207,80 @@ def parsed(text: str) -> list[tuple[str, str]]:
 
 
 def _read(table: pa.Table) -> pa.Table:
+    """One segment, from its windows."""
+    schema = _schema(_SEGMENTS)
     rows = sorted(table.to_pylist(), key=lambda r: r["window"])
-    turns, loss = hashlib.sha256(), hashlib.sha256()
-    n_turns = loss_chars = 0
+    if not rows:
+        return schema.empty_table()
+    turns, loss, n_turns = [], [], 0
     for row in rows:
         for role, text in parsed(row["text"])[row["n_repeated"] :]:
-            turns.update(f"{role}\n{text}\n".encode())
+            turns.append(f"{role}\n{text}\n")
             n_turns += 1
-        for span in row["loss"]:
-            text = unescaped(row["text"][span["start"] : span["end"]])
-            loss.update(text.encode())
-            loss_chars += len(text)
-    values = [
-        rows[0]["conv_id"],
-        n_turns,
-        turns.hexdigest(),
-        loss_chars,
-        loss.hexdigest(),
-        sum(len(r["text"]) for r in rows),
-        len(rows),
-        max(r["tokens"] for r in rows),
-    ]
-    names = [x.split()[0] for x in DIGESTS.split(", ")]
-    kinds = [pa.string() if "sha256" in x else pa.int64() for x in names]
-    return pa.table([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
+        loss += [unescaped(row["text"][x["start"] : x["end"]]) for x in row["loss"]]
+    turns, loss = "".join(turns).encode(), "".join(loss)
+    whole = rows[0]["n_segments"] == 1
+    values = {
+        "conv_id": rows[0]["conv_id"],
+        "n_turns": n_turns,
+        "turns_sha256": hashlib.sha256(turns).hexdigest() if whole else None,
+        "loss_chars": len(loss),
+        "loss_sha256": hashlib.sha256(loss.encode()).hexdigest() if whole else None,
+        "formatted_chars": sum(len(r["text"]) for r in rows),
+        "n_windows": len(rows),
+        "max_tokens": max(r["tokens"] for r in rows),
+        "segment": rows[0]["segment"],
+        "n_segments": rows[0]["n_segments"],
+        "turns": None if whole else turns,
+        "loss": None if whole else loss.encode(),
+    }
+    return pa.Table.from_pylist([values], schema)
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests over segments that come in order; holds one batch and the state of two hashes."""
+    schema, now, turns, loss = _schema(DIGESTS), None, None, None
+
+    def ended() -> pa.RecordBatch:
+        done = now | {"turns_sha256": turns.hexdigest(), "loss_sha256": loss.hexdigest()}
+        return pa.RecordBatch.from_pylist([done], schema)
+
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
+            if now is None or row["conv_id"] != now["conv_id"]:
+                if now is not None:
+                    yield ended()
+                now, turns, loss = {"conv_id": row["conv_id"], "max_tokens": 0}, hashlib.sha256(), hashlib.sha256()
+            turns.update(row["turns"])
+            loss.update(row["loss"])
+            for name in ("n_turns", "loss_chars", "formatted_chars", "n_windows"):
+                now[name] = now.get(name, 0) + row[name]
+            now["max_tokens"] = max(now["max_tokens"], row["max_tokens"])
+    if now is not None:
+        yield ended()
+
+
+def _digests(read: DataFrame) -> DataFrame:
+    read = written(read, "read")
+    one = read.filter("n_segments = 1").select(*_schema(DIGESTS).names)
+    many = read.filter("n_segments > 1").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return one.unionByName(many.mapInArrow(_chain, DIGESTS))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of turns and of the text under the loss mask, parsed from the windows."""
-    return formatted.groupBy("conv_id").applyInArrow(_read, DIGESTS)
+    """Digests of turns and of the text under the loss mask, parsed from stored windows."""
+    return _digests(formatted.groupBy("conv_id", "segment").applyInArrow(_read, _SEGMENTS))
+
+
+def round_trip(
+    turns: DataFrame, path: str, budget: int = BUDGET, history: int = HISTORY, segment: int = SEGMENT
+) -> DataFrame:
+    """``read_back`` of ``windows``; a segment is read where it was formatted, so texts move once."""
+    form = _format(path, budget, history)
+
+    def run(table: pa.Table) -> pa.Table:
+        return _read(form(table))
+
+    groups = segments(turns, history, segment).groupBy("conv_id", "segment")
+    return _digests(groups.applyInArrow(run, _SEGMENTS))

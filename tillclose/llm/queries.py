@@ -54,7 +54,7 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
         [(-7, 0, "user", _CONTROL), (-7, 1, "assistant", _CONTROL)],
         "conv_id long, turn long, role string, text string",
     )
-    return chat.read_back(chat.windows(turns.unionByName(control), public_tokenizers.path(JSON)))
+    return chat.round_trip(turns.unionByName(control), public_tokenizers.path(JSON))
 
 
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
