@@ -161,7 +161,8 @@ class Counts:
             extra.append(sum(special for _, special in parts))
         count = self.pieces
         count.turn()
-        self.learn(set().union(*split).difference(count, count.older))
+        # Not a set difference: that walks through all known pieces for every call.
+        self.learn(x for x in set().union(*split) if x not in count and x not in count.older)
         count = count.__getitem__
         return [more + sum(map(count, pieces)) for pieces, more in zip(split, extra, strict=True)]
 
