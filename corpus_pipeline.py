@@ -22,21 +22,21 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays.
+    """Of each group of near duplicates, the row with the smallest id stays, a null id first.
 
-    Documents without words belong to no group and stay; so does a null id. Of rows that repeat an id,
-    one stays.
+    Rows are told apart by id and text: a null or repeated id costs no row whose text is not a copy.
+    Rows without words belong to no group and stay; of rows that repeat an id with its text, one stays.
     """
     prepare(spark)
-    groups = jaccard.near_duplicates(docs)
-    go = groups.filter("doc_id <> component_id OR (component_id IS NULL AND doc_id IS NOT NULL)")
-    go = written(go.select(F.col("doc_id").alias("_d_id")).distinct(), "copies")
-    ids = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_r_id"))
-    repeated = written(ids, "repeated")
-    match = docs["doc_id"].eqNullSafe(repeated["_r_id"])
-    once = docs.join(repeated, match, "left_semi").dropDuplicates(["doc_id"])
-    rows = docs.join(repeated, match, "left_anti").unionByName(once)
-    return rows.join(go, rows["doc_id"] == go["_d_id"], "left_anti")
+    own = jaccard.members(docs).filter("n > 0 OR doc_id IS NOT NULL")
+    go = F.coalesce((F.col("one") != F.col("lead.one")) | (F.col("two") != F.col("lead.two")), F.lit(False))
+    rows = own.groupBy("one", "two").agg(F.max(go).alias("go"), F.count(F.lit(1)).alias("rows"))
+    told = written(rows.filter("go OR rows > 1").select("one", "two", "go"), "copies")
+    one, two = jaccard.row_prints(docs)
+    docs = docs.withColumns({"_n_one": one, "_n_two": two})
+    match = (docs["_n_one"] == told["one"]) & (docs["_n_two"] == told["two"])
+    once = docs.join(told.filter("NOT go"), match, "left_semi").dropDuplicates(["_n_one", "_n_two"])
+    return docs.join(told, match, "left_anti").unionByName(once).drop("_n_one", "_n_two")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

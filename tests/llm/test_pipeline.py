@@ -44,3 +44,32 @@ def test_stages_accept_an_empty_table(spark):
         out = stage(spark, docs, FOLDER)
         assert out.columns == docs.columns
         assert out.count() == 0
+
+
+def test_null_and_repeated_ids_cost_no_other_text(spark):
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(60))
+
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (None, text("c")), (None, text("c"))]
+    rows += [(1, text("a")), (1, text("d")), (1, text("e")), (2, text("d") + " more"), (3, text("f")), (3, text("f"))]
+    rows += [(None, ""), (None, None), (4, ""), (5, text("g")), (5, text("h")), (6, text("h"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates_stage(spark, docs, FOLDER).collect()]
+    one_b = [x for x in left if x[1] in (text("b"), text("b") + " more")]
+    assert len(one_b) == 1 and one_b[0][0] is None
+    expected = [(None, text("a")), (None, text("c")), (1, text("d")), (1, text("e")), (3, text("f"))]
+    expected += [(None, ""), (None, None), (4, ""), (5, text("g")), (5, text("h"))]
+    assert sorted(map(repr, left)) == sorted(map(repr, [*expected, *one_b]))
+
+
+def test_links_of_each_text_of_a_null_or_repeated_id(spark):
+    from tillclose.llm import jaccard
+
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(60))
+
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " x"), (3, text("b") + " x"), (None, text("c")), (None, text("d"))]
+    rows += [(4, text("d") + " x"), (5, text("e")), (7, text("c")), (6, text("e") + " x")]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = [(1, 1), (1, 1), (2, 1), (3, 1), (None, None), (None, None), (4, None), (5, 5), (7, None), (6, 5)]
+    assert sorted(map(repr, ((r.doc_id, r.component_id) for r in found))) == sorted(map(repr, expected))

@@ -23,8 +23,10 @@ Nothing is dropped: bounds are exact, and hashes decide only who meets whom. Has
 shingle equality at 64 bits.
 
 Nulls and edge cases: a document without words has an empty set, links with nothing and is its own
-component; one with fewer words than a shingle has its whole sequence as its only shingle. A null
-``doc_id`` takes part as the smallest id and comes back null. Repeated rows are equal sets.
+component; one with fewer words than a shingle has its whole sequence as its only shingle. A document is
+an id with a text: rows of a null id or of a repeated id with other texts take part each with its own
+text, under a 63-bit hash of both instead of the id. A null ``doc_id`` is the smallest and comes back
+null. Repeated rows are equal sets.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillclose.llm import text as tx
-from tillclose.llm.frames import bucket_count, components, keyed, with_null_ids, written
+from tillclose.llm.frames import bucket_count, components, written
 
 WIDTH, NUM, DEN = 5, 3, 4
 TILE = 4096
@@ -90,6 +92,27 @@ def near_enough(apart: np.ndarray, total: np.ndarray) -> np.ndarray:
     return apart * (DEN + NUM) <= total * (DEN - NUM)
 
 
+def row_prints(docs: DataFrame) -> list[Column]:
+    """128 bits that tell a row of ``docs`` by its id and text."""
+    own = docs["doc_id"].cast("long")
+    return [F.xxhash64(own, docs["text"]), F.xxhash64(F.lit(1), own, docs["text"])]
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """``doc_id`` (one for each id and text), ``own_id`` as it came, ``text`` and the row's prints.
+
+    The id stands for itself where it has one text, as small numbers pack best.
+    """
+    one, two = row_prints(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text", one.alias("one"), two.alias("two"))
+    texts = rows.filter("own_id IS NOT NULL").groupBy("own_id").agg(F.min("one").alias("a"), F.max("one").alias("b"))
+    several = written(texts.filter("a <> b").select(F.col("own_id").alias("several")), "several")
+    rows = rows.join(several, F.col("own_id") == F.col("several"), "left")
+    alone = F.col("own_id").isNotNull() & F.col("several").isNull()
+    hashed = F.col("one").bitwiseOR(F.lit(-(1 << 63)))
+    return rows.select(F.when(alone, F.col("own_id")).otherwise(hashed).alias("doc_id"), "own_id", "one", "two", "text")
+
+
 def _profile(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batches):
@@ -99,13 +122,13 @@ def _profile(width: int) -> Callable:
                 high = [int(np.bitwise_xor.reduce(tx.mix(x)).view(np.int64)) if len(x) else 0 for x in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    chunk.column("doc_id"),
+                    *(chunk.column(x) for x in ("doc_id", "own_id", "one", "two")),
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array(low, pa.int64()),
                     pa.array(high, pa.int64()),
                     pa.array([signature(x) for x in sets], pa.binary()),
                 ],
-                names=["doc_id", "n", "low", "high", "sign"],
+                names=["doc_id", "own_id", "one", "two", "n", "low", "high", "sign"],
             )
 
     return run
@@ -388,15 +411,21 @@ def _last_pairs(known: DataFrame, classes: DataFrame, tile: int) -> DataFrame:
     return rows.groupBy("shingle", "tile", "one", "two").applyInArrow(_block_pairs, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, tile: int = TILE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
-    docs = keyed(docs)
-    profile = written(docs.mapInArrow(_profile(width), "doc_id long, n long, low long, high long, sign binary"), "sets")
+def members(docs: DataFrame, width: int = WIDTH, tile: int = TILE) -> DataFrame:
+    """``doc_id, n``, the prints ``one`` and ``two`` of every row, and ``lead``: id and prints of the
+    component's row with the smallest id (null without words)."""
+    docs = _documents(docs)
+    schema = "doc_id long, own_id long, one long, two long, n long, low long, high long, sign binary"
+    profile = written(docs.mapInArrow(_profile(width), schema), "sets")
     filled = profile.filter("n > 0")
     # A document counts once, as in the document frequencies, also if its row is repeated.
-    once = filled.groupBy("n", "low", "high", "doc_id").agg(F.first("sign").alias("sign"))
+    lead = F.min(F.struct(F.col("own_id").alias("doc_id"), "one", "two")).alias("lead")
+    once = filled.groupBy("n", "low", "high", "doc_id").agg(F.first("sign").alias("sign"), lead)
     classes = once.groupBy("n", "low", "high").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("sign").alias("sign")
+        F.min("doc_id").alias("doc_id"),
+        F.count(F.lit(1)).alias("copies"),
+        F.first("sign").alias("sign"),
+        F.min("lead").alias("lead"),
     )
     classes = written(classes, "classes")
     buckets = bucket_count(docs, _BUCKET_BYTES, _LEAST_BUCKETS)
@@ -426,15 +455,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, tile: int = TILE) -> Da
         parts = written(components(links), "parts")
     pairs = _last_pairs(_known(postings, parts), classes, tile).join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(written(_linked(pairs, sets), "links"))
-    parts = components(links).select(F.col("node").alias("rep"), F.col("component").alias("root"))
-    named = classes.select("n", "low", "high", F.col("doc_id").alias("rep")).join(parts, "rep", "left")
-    named = named.select("n", "low", "high", F.coalesce("root", "rep").alias("root"))
+    parts = written(components(links), "parts").select(F.col("node").alias("rep"), F.col("component").alias("root"))
+    own = classes.select("n", "low", "high", F.col("doc_id").alias("rep"), "lead")
+    first = parts.join(own, "rep").groupBy("root").agg(F.min("lead").alias("first"))
+    named = own.join(parts.join(first, "root"), "rep", "left")
+    named = named.select("n", "low", "high", F.coalesce("first", "lead").alias("lead"))
     out = profile.join(named, ["n", "low", "high"], "left")
-    component = F.coalesce("root", "doc_id")
-    return with_null_ids(
-        out.select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.when(component != -(1 << 63), component).alias("component_id"),
-        )
+    return out.select(F.col("own_id").alias("doc_id"), "n", "one", "two", "lead")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, tile: int = TILE) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document."""
+    component = F.when(F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id"))
+    return members(docs, width, tile).select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")
     )
