@@ -425,3 +425,36 @@ def test_gradients():
             low = loss()
             model.p[name][at] += 1e-6
             assert abs((high - low) / 2e-6 - grad[at]) < 1e-5
+
+
+def test_decontamination_finds_every_one_and_two_word_change(spark):
+    from itertools import combinations
+
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(5, 20)]
+    rows, expected = [], set()
+    for n, text in items:
+        for changes in (1, 2, 3):
+            # From 15 words on, a fifth of the words are three; of those, a part is enough here.
+            for places in list(combinations(range(n), changes))[:: 1 if changes < 3 else 7]:
+                own = text.split()
+                for place in places:
+                    own[place] = "other"
+                rows.append((len(rows), " ".join(["before it", *own, "after it"])))
+                if (n - changes) * 100 >= n * 80:
+                    expected.add((rows[-1][0], n, n - changes))
+        rows.append((len(rows), text.split(" ", 1)[1]))
+        expected.add((rows[-1][0], n, n - 1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    enough = {(r.doc_id, r.item_id, r.n_matched) for r in found}
+    assert expected <= enough
+    # What else is found has a long segment.
+    assert all(m >= decontaminate.LEAST_MATCHES for _, _, m in enough - expected)
+
+
+def test_seeds_of_three_changes_in_fifteen_to_nineteen_words():
+    from itertools import combinations
+
+    for n in range(15, 20):
+        fits = [{x + at for x in m} for _, m in decontaminate.masks([]) for at in range(n - m[-1])]
+        assert all(any(not own & set(places) for own in fits) for places in combinations(range(n), 3))

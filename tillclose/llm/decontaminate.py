@@ -12,9 +12,11 @@ so the best-scoring segment tells a changed copy from chance.
 - Documents with hits travel once, as word hashes; candidates get the slice under the item only.
 
 Words are runs of letters and digits of the lower-cased text (ASCII punctuation and blanks separate).
-An item and a document overlap when the segment has at least ``LEAST_MATCHES`` matching words, or, for
-shorter items, when the segment misses at most a tenth of the item. Items under ``LEAST_ITEM`` words are
-no evidence and never match.
+An item and a document overlap when at least ``SHARE`` percent of the whole item's words match along the
+diagonal, or the segment has at least ``LEAST_MATCHES`` matching words. Up to 19 words, and wherever at
+most two words in ten are changed, the masks find every such copy: items under ``LONG`` words have a mask
+for each place left free, and any two places of ten words are free in one of ``PAIRS``. Items under
+``LEAST_ITEM`` words are no evidence and never match.
 
 Nulls and edge cases: null or empty texts and items match nothing; a null ``doc_id`` is reported as
 null; repeated rows are one row of the result; items with equal text are each reported.
@@ -35,8 +37,17 @@ from tillclose.llm.frames import keyed, with_null_ids, written
 
 #: Kept positions of the masks; windows of 11 words with 7 kept, after spaced seeds for similarity search.
 MASKS = ((0, 1, 2, 4, 7, 8, 10), (0, 2, 3, 5, 6, 9, 10), (0, 1, 4, 5, 7, 9, 10))
-SPAN = 11
-LEAST_ITEM, LEAST_MATCHES = 5, 12
+#: For every two places of ten words, one of these fits in without them; the last is for three of fifteen.
+PAIRS = (
+    (0, 1, 3, 4, 5, 6),
+    (0, 1, 2, 3, 6, 7),
+    (0, 1, 4, 5, 7, 8),
+    (0, 2, 4, 5, 6, 7),
+    (0, 1, 2, 4, 6, 8),
+    (0, 1, 2, 3, 4, 5),
+)
+SPAN, LONG = 11, 10
+LEAST_ITEM, LEAST_MATCHES, SHARE = 5, 12, 80
 MATCH, MISS = 1, -2
 FILTER_BITS = 24
 _STEPS = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(SPAN)], np.uint64)
@@ -60,9 +71,11 @@ def _seeds(words: tx.Words, mask: tuple[int, ...], salt: int) -> tuple[np.ndarra
     return tx.mix(out), at
 
 
-def masks(short: list[int]) -> list[tuple[int, ...]]:
-    """The masks, and a full one for each length of items that are shorter than a window."""
-    return [*MASKS, *(tuple(range(n)) for n in short)]
+def masks(short: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """The masks of items from ``LONG`` words on, as length 0, and masks with one free place for each
+    length of shorter items. A free end is left off, so that a cut item is found as well."""
+    own = [(n, tuple(x for x in range(n) if x != free)) for n in short for free in range(1, n)]
+    return [*((0, mask) for mask in (*MASKS, *PAIRS)), *own]
 
 
 def _probes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +96,10 @@ def _item_seeds(short: list[int]) -> Callable:
         for chunk in tx.chunks(batches):
             words, ids = _words(chunk.column("text")), np.arange(chunk.num_rows)
             lengths = np.diff(words.first)
-            for number, mask in enumerate(masks(short)):
+            for number, (length, mask) in enumerate(masks(short)):
                 hashes, at = _seeds(words, mask, number)
                 row = words.doc[at]
-                # A full mask is for items of exactly its length.
-                own = lengths[row] >= SPAN if number < len(MASKS) else lengths[row] == len(mask)
+                own = lengths[row] == length if length else lengths[row] >= LONG
                 hashes, at, row = hashes[own], at[own], row[own]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -128,7 +140,7 @@ def _scan(bitmap: np.ndarray, short: list[int]) -> Callable:
         for chunk in tx.chunks(batches):
             words = _words(chunk.column("text"))
             found, places = [], []
-            for number, mask in enumerate(masks(short)):
+            for number, (_, mask) in enumerate(masks(short)):
                 hashes, at = _seeds(words, mask, number)
                 one, two = _probes(hashes)
                 keep = np.flatnonzero(passes(one))
@@ -170,6 +182,16 @@ def segment(same: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def aligned(same: np.ndarray, size: int) -> tuple[int, int, int] | None:
+    """Start, end and matches of an item of ``size`` words along a diagonal, or None if that is chance."""
+    whole = int(same.sum())
+    if whole * 100 >= size * SHARE:
+        places = np.flatnonzero(same)
+        return int(places[0]), int(places[-1]) + 1, whole
+    start, end, matches = segment(same)
+    return (start, end, matches) if matches >= LEAST_MATCHES else None
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -177,10 +199,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             item, part = np.array(row["item"], np.int64), np.array(row["part"], np.int64)
             skip = max(0, -row["shift"])
             item_part = item[skip : skip + len(part)]
-            start, end, matches = segment(item_part == part[: len(item_part)])
-            short = len(item) < LEAST_MATCHES
-            if matches < LEAST_MATCHES and not (short and matches * 10 >= len(item) * 9):
+            found = aligned(item_part == part[: len(item_part)], len(item))
+            if found is None:
                 continue
+            start, end, matches = found
             begin = max(0, row["shift"]) + start
             out.append((row["doc_id"], row["print"], row["item_id"], begin, skip + start, end - start, matches))
         names = ["doc_id", "print", "item_id", "doc_at", "item_at", "n_words", "n_matched"]
@@ -191,8 +213,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = items.select("item_id", "text").filter("text IS NOT NULL")
     words = written(items.mapInArrow(_item_words, "item_id long, words array<long>"), "items")
-    sizes = words.groupBy(F.size("words").alias("n")).count().filter((F.col("n") >= LEAST_ITEM) & (F.col("n") < SPAN))
-    # At most SPAN - LEAST_ITEM lengths.
+    sizes = words.groupBy(F.size("words").alias("n")).count().filter((F.col("n") >= LEAST_ITEM) & (F.col("n") < LONG))
+    # At most LONG - LEAST_ITEM lengths.
     short = sorted(r.n for r in sizes.collect())
     seeds = written(items.mapInArrow(_item_seeds(short), "item_id long, seed long, item_at int"), "seeds")
     print_ = F.xxhash64("text").alias("print")
