@@ -458,3 +458,23 @@ def test_seeds_of_three_changes_in_fifteen_to_nineteen_words():
     for n in range(15, 20):
         fits = [{x + at for x in m} for _, m in decontaminate.masks([]) for at in range(n - m[-1])]
         assert all(any(not own & set(places) for own in fits) for places in combinations(range(n), 3))
+
+
+def test_ibans_end_where_their_country_says():
+    def found(text):
+        return [text[s:e] for kind, s, e in pii.spans(text)[1] if kind == "iban"]
+
+    plain, spaced = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    for after in ("", " BIC COBADEFF", " BIC: COBADEFFXXX", " 12345", " EUR 100", " AMOUNT 5", ".", ", X", "\nBIC"):
+        for own in (plain, spaced, plain.lower(), spaced.lower()):
+            assert found(f"IBAN: {own}{after}") == [own], (own, after)
+            assert found(f"Pay to {own}{after}") == [own], (own, after)
+    assert found("GB82 WEST 1234 5698 7654 32 BIC WESTGB2L NL91ABNA0417164300 INGB") == [
+        "GB82 WEST 1234 5698 7654 32",
+        "NL91ABNA0417164300",
+    ]
+    assert found(f"an example {plain} here") == []
+    assert found(f"example account {plain} here") == [plain]
+    assert found(f"x{plain}") == found(f"{plain}x") == found("IBAN DE88370400440532013000") == []
+    text = f"IBAN {spaced} BIC COBADEFF"
+    assert pii.mask(text, pii.spans(text)[1]) == "IBAN [IBAN] BIC COBADEFF"

@@ -2,9 +2,11 @@
 
 Kinds and what confirms them: e-mail addresses (shape), IPv4 addresses (parts up to 255), payment cards
 (14 to 19 digits, Luhn), phone numbers (international form, 10 to 15 digits), IBANs (mod 97) and secrets
-(long hexadecimal strings). The first four are certain enough alone. The others start below the
-threshold: an IBAN needs its checksum, a secret needs a word such as "token" just before it; words that
-speak of samples or hashes lower the score.
+(long hexadecimal strings). The first four are certain enough alone, whatever stands around them. An IBAN
+ends where the length of its country says, whatever follows, and passes with its checksum unless words
+that speak of samples lower its score; under a country code without a known length, every end is tried
+and a word such as "account" must stand just before it. A secret starts below the threshold: it needs a
+word such as "token" before it, and words that speak of samples or hashes lower the score.
 
 All patterns run in linear time: runs of digits are matched once from their beginning and e-mail
 addresses are found from their "@". Every whole text is read; rows are independent.
@@ -34,11 +36,37 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?= ?[A-Za-z0-9])")
+_REST = re.compile(r"(?: ?[A-Za-z0-9]){11,30}")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,64}(?![A-Za-z0-9])")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Score before context, what a word nearby adds, and the words.
-_START = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "secret": 0.4}
+_START = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.7, "secret": 0.4}
+#: Characters of an IBAN by country (fixed values of the IBAN registry).
+_LENGTHS = {
+    country: size
+    for size, countries in {
+        15: "NO",
+        16: "BE",
+        18: "DK FI FK FO GL NL SD",
+        19: "MK SI",
+        20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG YE",
+        25: "LY PT ST",
+        26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA",
+        30: "JO KW MU",
+        31: "MT SC",
+        32: "LC",
+        33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _RAISE = {
     "iban": ("iban", "account", "konto", "compte", "cuenta", "bank"),
     "secret": ("token", "secret", "key", "password", "passwort", "api"),
@@ -107,14 +135,36 @@ def score(text: str, kind: str, start: int, end: int) -> float:
     return value
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    free = 0
+    for match in _IBAN.finditer(text):
+        start = match.start()
+        if start < free:
+            continue
+        known = _LENGTHS.get(match[0][:2].upper())
+        rest = _REST.match(text, match.end())
+        if not rest:
+            continue
+        # Ends of 15 to 34 characters, longest first, that no letter or digit follows.
+        places = [at for at in range(match.end(), rest.end()) if text[at] != " "]
+        sizes = [known] if known else range(len(places) + 4, 14, -1)
+        for size in sizes:
+            if size - 4 > len(places):
+                continue
+            end = places[size - 5] + 1
+            if text[end : end + 1].isascii() and text[end : end + 1].isalnum():
+                continue
+            value = score(text, "iban", start, end) - (0 if known else _STEP)
+            if value >= THRESHOLD and mod97(text[start:end].replace(" ", "")):
+                free = end
+                yield start, end
+                break
+
+
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans, each ``(kind, start, end)`` in order of start and kind."""
     found: dict[str, list[tuple[int, int]]] = _base(text)
-    found["iban"] = [
-        m.span()
-        for m in _IBAN.finditer(text)
-        if mod97(m[0].replace(" ", "")) and score(text, "iban", *m.span()) >= THRESHOLD
-    ]
+    found["iban"] = list(_ibans(text))
     found["secret"] = [
         m.span() for m in _SECRET.finditer(text) if score(text, "secret", *m.span()) >= THRESHOLD
     ]
