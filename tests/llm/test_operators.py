@@ -478,3 +478,46 @@ def test_ibans_end_where_their_country_says():
     assert found(f"x{plain}") == found(f"{plain}x") == found("IBAN DE88370400440532013000") == []
     text = f"IBAN {spaced} BIC COBADEFF"
     assert pii.mask(text, pii.spans(text)[1]) == "IBAN [IBAN] BIC COBADEFF"
+
+
+def test_licenses_of_common_texts(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    name = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    lesser = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+"""
+    isc = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy is missing"
+    cases = [(bsd, "BSD-2-Clause"), (bsd + name, "BSD-3-Clause"), (isc, "ISC"), (mpl, "MPL-2.0"), (lesser, "LGPL-2.1-or-later")]
+    for old, new in (("Lesser General", "General"), ("Lesser", "Affero")):
+        for version in ("2", "3") if old == "Lesser General" else ("3",):
+            own = "AGPL" if new == "Affero" else "GPL"
+            cases.append((lesser.replace(old, new).replace("2.1", version), f"{own}-{version}.0-or-later"))
+    epl = "are made\n * available under the terms of the Eclipse Public License"
+    for version in ("2.0", "v. 2.0"):
+        place = "which is\n * available at https://www.eclipse.org/legal/epl-2.0/"
+        cases.append((f" * This program and the accompanying materials {epl} {version} {place}\n", "EPL-2.0"))
+    cases += [("This is free and unencumbered software released into the public domain.", "Unlicense")]
+    cases += [("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("Released under the BSD 3-Clause License", "BSD-3-Clause")]
+    cases += [(f"x = 1\n# SPDX-License-Identifier: {x}\n", x) for x in licenses._NAMED]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: r.licenses for r in licenses.scan(docs).collect()}
+    assert {cases[i][0]: x for i, x in found.items()} == dict(cases)
