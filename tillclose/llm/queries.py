@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillclose.llm import (
     bpe,
@@ -13,6 +14,7 @@ from tillclose.llm import (
     decontaminate,
     jaccard,
     licenses,
+    merkle,
     pii,
     quality_model,
     quality_rules,
@@ -80,6 +82,15 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.scan(_table(spark, folder, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    changed = F.coalesce(F.crc32(docs["doc_id"].cast("string")) % 7 == 0, F.lit(False))
+    claims = [docs[x] if x != "n_chars" else docs[x] + F.when(changed, 1).otherwise(0) for x in merkle.FIELDS]
+    proofs = merkle.verified(merkle.manifest(docs, carry={"claimed": merkle.leaf(claims)}), "claimed")
+    proof = merkle.path_digest(F.col("path")).alias("proof_sha256")
+    return proofs.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
@@ -93,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_quality_rules,
         op10_pii,
+        op12_merkle_manifest,
     )
 }
 
@@ -223,9 +235,76 @@ FROM m LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DIS
 """
 
 
+def _op12() -> str:
+    def framed(value: str) -> str:
+        text = f"CAST({value} AS VARCHAR)"
+        return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+    def leaf(n_chars: str) -> str:
+        return "sha256(" + " || ".join(map(framed, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+    # CRC-32 bit by bit: a character is taken in, then eight shifts.
+    steps = (
+        "list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+        "lambda c: list_concat([CAST(ord(c) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1]))))"
+    )
+    crc = (
+        f"xor(list_reduce({steps}, lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 "
+        "THEN xor(s // 2, 3988292384) ELSE s // 2 END), 4294967295)"
+    )
+
+    def tree(name: str, base: str) -> str:
+        return f"""
+{name} AS (
+  WITH RECURSIVE n(level, tree, idx, size, digest) AS (
+    {base}
+    UNION ALL
+    SELECT level + 1, tree, idx // 2, (size + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx))
+    FROM n WHERE size > 1 GROUP BY level, tree, idx // 2, size)
+  SELECT * FROM n)"""
+
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, lang, {leaf("n_chars")} AS leaf,
+    CASE WHEN {crc} % 7 = 0 THEN {leaf("n_chars + 1")} ELSE {leaf("n_chars")} END AS claimed FROM documents),
+l AS MATERIALIZED (
+  SELECT *, coalesce('=' || lang, '') AS tree, count(*) OVER (PARTITION BY lang) AS size,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+{tree("low", "SELECT 0, tree, idx, size, leaf FROM l")},
+s AS MATERIALIZED (
+  SELECT tree, digest AS subroot, level AS height, row_number() OVER (ORDER BY encode(tree)) - 1 AS place,
+    count(*) OVER () AS size FROM low WHERE size = 1),
+{tree("high", "SELECT 0, 'all', place, size, subroot FROM s")},
+steps AS MATERIALIZED (
+  SELECT l.tree, l.idx, low.level + 1 AS step, low.digest AS sibling, low.idx < (l.idx >> low.level) AS earlier
+  FROM l JOIN low ON low.tree = l.tree AND low.idx = xor(l.idx >> low.level, 1)
+  UNION ALL
+  SELECT l.tree, l.idx, s.height + high.level + 1, high.digest, high.idx < (s.place >> high.level)
+  FROM l JOIN s ON s.tree = l.tree JOIN high ON high.idx = xor(s.place >> high.level, 1)),
+total AS (
+  SELECT s.tree, s.subroot, s.height, s.height + top.level AS levels, top.digest AS root
+  FROM s, (SELECT level, digest FROM high WHERE size = 1) top),
+up AS (
+  WITH RECURSIVE f(tree, idx, step, levels, digest) AS (
+    SELECT l.tree, l.idx, 0, levels, claimed FROM l JOIN total ON total.tree = l.tree
+    UNION ALL
+    SELECT f.tree, f.idx, f.step + 1, levels, sha256(
+      CASE WHEN earlier THEN sibling ELSE '' END || f.digest || CASE WHEN NOT earlier THEN sibling ELSE '' END)
+    FROM f LEFT JOIN steps ON steps.tree = f.tree AND steps.idx = f.idx AND steps.step = f.step + 1
+    WHERE f.step < levels)
+  SELECT * FROM f WHERE step = levels),
+p AS (SELECT tree, idx, sha256(string_agg(sibling, '' ORDER BY step)) AS proof FROM steps GROUP BY tree, idx)
+SELECT l.doc_id, l.leaf, total.subroot, total.root, coalesce(p.proof, sha256('')) AS proof_sha256,
+  up.digest AS folded_root, up.digest = total.root AS verified
+FROM l JOIN total ON total.tree = l.tree JOIN up ON up.tree = l.tree AND up.idx = l.idx
+LEFT JOIN p ON p.tree = l.tree AND p.idx = l.idx
+"""
+
+
 ORACLES = {
     "op2_ngram_jaccard_join": _OP2,
     "op4_substring_dedup": _OP4,
     "op6_license_scan": _op6(),
     "op9_quality_rules": _op9(),
+    "op12_merkle_manifest": _op12(),
 }
