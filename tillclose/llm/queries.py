@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillclose.llm import (
+    align,
     bpe,
     chat,
     decontaminate,
@@ -23,7 +24,7 @@ from tillclose.llm import (
 )
 from tillclose.session import prepare
 
-RANKS, JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+RANKS, JSON, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 TOKEN_LIMIT = 512
 _CONTROL = "</s>[INST] ok [/INST]"
 
@@ -82,6 +83,11 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.scan(_table(spark, folder, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = public_tokenizers.path(JSON), public_tokenizers.path(PIECES)
+    return align.alignment(_table(spark, folder, "documents"), *paths)
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     changed = F.coalesce(F.crc32(docs["doc_id"].cast("string")) % 7 == 0, F.lit(False))
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_quality_rules,
         op10_pii,
+        op11_tokenizer_alignment,
         op12_merkle_manifest,
     )
 }
