@@ -1,6 +1,8 @@
 """Alignment of two tokenizers' ids on the same bytes, and which ids stand for each other in the corpus.
 
-1. Every text is encoded by both; the cumulative ends of the tokens go into a dictionary from end to index
+0. Neither side joins a space to what stands before it (checked for the model), so a text is split there, and
+   each distinct unit is encoded and aligned once; groups and links of a text are those of its units.
+1. A unit is encoded by both; the cumulative ends of the tokens go into a dictionary from end to index
    per side. The intersection of the two key sets, sorted, cuts both id lists into groups that cover the
    same bytes; nothing inside a group ends together.
 2. Links are the pairs of tokens whose bytes overlap, expanded slice by slice: between two cuts each place
@@ -21,11 +23,10 @@ read. A single text must fit in a task.
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import accumulate
-from typing import NamedTuple
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,31 +41,63 @@ from tillclose.llm.frames import written
 from tillclose.llm.token_counts import BYTE_LEVEL, counts
 
 
-class Aligned(NamedTuple):
-    """Ids of both sides, the byte ends of their tokens, and per group the tokens before its end."""
+# The longest stretches that begin with a space after something that is no blank on either side.
+_UNIT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
+_WHOLE = re.compile(r"(?s).+")
+# Units that are encoded as one string.
+_BLOCK = 128
 
-    a: list[int]
-    b: list[int]
-    a_ends: list[int]
-    b_ends: list[int]
-    cuts: list[tuple[int, int]]
+
+def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Per offset at which both sides end, in order: how many tokens of each end there or before."""
+    a_at, b_at = ({end: i for i, end in enumerate(x.tolist(), 1)} for x in (a_ends, b_ends))
+    return np.array([(a_at[end], b_at[end]) for end in sorted(a_at.keys() & b_at.keys())], np.int64).reshape(-1, 2)
+
+
+class Aligned:
+    """Units with the ids of both sides: ``cuts`` are the tokens of each side up to the end of every group,
+    ``ends`` the groups up to the end of every unit, and ``good`` says which units neither side changes."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, sizes: np.ndarray):
+        self.a, self.b, self.a_ends, self.b_ends = a, b, a_ends, b_ends
+        self.cuts = common_ends(a_ends, b_ends)
+        self.good = sizes > 0
+        offsets = np.r_[0, a_ends][self.cuts[:, 0]]
+        self.ends = np.searchsorted(offsets, np.cumsum(sizes), "right")
+
+    def tokens(self) -> np.ndarray:
+        """Tokens of both sides, groups and links of every unit."""
+        at = np.vstack([np.zeros((1, 2), np.int64), self.cuts])[np.r_[0, self.ends]]
+        both = np.diff(at, axis=0)
+        groups = np.diff(np.r_[0, self.ends])
+        # A slice of m and n tokens has m + n - 1 overlaps.
+        return np.column_stack([both, groups, both.sum(1) - groups])
+
+    def links(self) -> np.ndarray:
+        """The id pairs of all overlaps, slice by slice, as one number each.
+
+        In a slice every place where either side ends closes one overlap.
+        """
+        closed = np.union1d(self.a_ends, self.b_ends)
+        left, right = self.a[np.searchsorted(self.a_ends, closed)], self.b[np.searchsorted(self.b_ends, closed)]
+        return left << 32 | right
 
     def groups(self) -> list[tuple[list[int], list[int]]]:
         """The ids of each group."""
-        out, i, j = [], 0, 0
-        for up, to in self.cuts:
-            out.append((self.a[i:up], self.b[j:to]))
+        a, b, out, i, j = self.a.tolist(), self.b.tolist(), [], 0, 0
+        for up, to in self.cuts.tolist():
+            out.append((a[i:up], b[j:to]))
             i, j = up, to
         return out
 
-
-NOTHING = Aligned([], [], [], [], [])
-
-
-def common_ends(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """Per offset at which both sides end, in order: how many tokens of each end there or before."""
-    a_at, b_at = (dict(zip(x, range(1, len(x) + 1), strict=True)) for x in (a_ends, b_ends))
-    return [(a_at[end], b_at[end]) for end in sorted(a_at.keys() & b_at.keys())]
+    def texts(self) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` of every unit: its groups with their ids in order."""
+        a, b = (list(map(str, x.tolist())) for x in (self.a, self.b))
+        each, i, j = [], 0, 0
+        for up, to in self.cuts.tolist():
+            each.append(f"{','.join(a[i:up])}|{','.join(b[j:to])}" if up - i + to - j > 2 else f"{a[i]}|{b[j]}")
+            i, j = up, to
+        return [";".join(each[low:high]) for low, high in pairwise([0, *self.ends.tolist()])]
 
 
 class Pair:
@@ -76,48 +109,54 @@ class Pair:
         self._a = tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes = {i: self._piece(i) for i in range(self._b.get_piece_size())}
-        self._a_sizes, self._b_sizes = ({k: len(v) for k, v in x.items()} for x in (self.a_bytes, self.b_bytes))
+        self._sizes = []
+        for kind in (self.a_bytes, self.b_bytes):
+            sizes = np.zeros(max(kind) + 1, np.int64)
+            sizes[list(kind)] = [len(x) for x in kind.values()]
+            self._sizes.append(sizes)
+        # Units are exact only if no token of B goes on over a space into the next unit.
+        self._space = self._b.piece_to_id("▁")
+        apart = self._space != self._b.unk_id() and not any(b" " in x.lstrip(b" ") for x in self.b_bytes.values())
+        self._split = (_UNIT if apart else _WHOLE).findall
 
     def _piece(self, at: int) -> bytes:
         piece = self._b.id_to_piece(at)
         return bytes([int(piece[3:-1], 16)]) if self._b.is_byte(at) else piece.replace("▁", " ").encode()
 
-    def align(self, texts: list[str | None]) -> Iterator[Aligned]:
-        """Each text's tokens and groups."""
-        encoded = self._b.encode([x or "" for x in texts], num_threads=1)
-        for text, b in zip(texts, encoded, strict=True):
-            if not text:
-                yield NOTHING
+    def split(self, text: str | None) -> list[str]:
+        """The units of a space and the text; none of an empty one."""
+        return self._split(" " + text) if text else []
+
+    def _encoded(self, blocks: list[list[str]]) -> Iterator[tuple[list[int], list[int], list[int]]]:
+        """Ids of both sides, and the bytes of every unit; a unit that a side changes has no ids and none."""
+        wholes = ["".join(x) for x in blocks]
+        # The model puts the first space itself, but leaves a lone one out.
+        right = self._b.encode([x[1:] for x in wholes], num_threads=1)
+        for units, whole, b in zip(blocks, wholes, right, strict=True):
+            a, b, data = self._a.encode_ordinary(whole), [self._space] if whole == " " else b, whole.encode()
+            sides = (self.a_bytes, a), (self.b_bytes, b)
+            if all(b"".join(map(kind.__getitem__, ids)) == data for kind, ids in sides):
+                yield a, b, [len(x.encode()) for x in units]
+            elif len(units) == 1:
+                yield [], [], [0]
+            else:
+                half = len(units) // 2
+                yield from self._encoded([units[:half], units[half:]])
+
+    def align(self, units: list[str]) -> Aligned:
+        """Tokens and groups of units. Those that end in a blank would run into the next one, so they, the
+        last ones of their texts, are encoded each on its own."""
+        blocks = [[]]
+        for unit in units:
+            if unit[-1].isspace():
+                blocks += [[unit], []]
                 continue
-            a = self._a.encode_ordinary(" " + text)
-            whole = (" " + text).encode()
-            joined = (b"".join(map(kind.__getitem__, ids)) for kind, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-            if any(x != whole for x in joined):
-                yield NOTHING
-                continue
-            a_ends = list(accumulate(map(self._a_sizes.__getitem__, a)))
-            b_ends = list(accumulate(map(self._b_sizes.__getitem__, b)))
-            yield Aligned(a, b, a_ends, b_ends, common_ends(a_ends, b_ends))
-
-
-def links(own: Aligned) -> tuple[np.ndarray, np.ndarray]:
-    """Places in both id lists of all tokens whose bytes overlap."""
-    a_ends, b_ends = np.array(own.a_ends, np.int64), np.array(own.b_ends, np.int64)
-    closed = np.union1d(a_ends, b_ends)
-    return np.searchsorted(a_ends, closed), np.searchsorted(b_ends, closed)
-
-
-def group_text(own: Aligned) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the groups with their ids in order."""
-    a, b = list(map(str, own.a)), list(map(str, own.b))
-    out, i, j = [], 0, 0
-    for up, to in own.cuts:
-        if up - i == 1 and to - j == 1:
-            out.append(f"{a[i]}|{b[j]}")
-        else:
-            out.append(f"{','.join(a[i:up])}|{','.join(b[j:to])}")
-        i, j = up, to
-    return ";".join(out)
+            if len(blocks[-1]) >= _BLOCK:
+                blocks.append([])
+            blocks[-1].append(unit)
+        parts = list(self._encoded([x for x in blocks if x]))
+        a, b, sizes = (np.fromiter(chain.from_iterable(x[i] for x in parts), np.int64) for i in range(3))
+        return Aligned(a, b, np.cumsum(self._sizes[0][a]), np.cumsum(self._sizes[1][b]), sizes)
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -138,9 +177,10 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         own = pair(a_path, b_path)
         kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
         for chunk in tx.chunks(batches):
-            found = [
-                [{"a": a, "b": b} for a, b in x.groups()] for x in own.align(chunk.column("text").to_pylist())
-            ]
+            found = []
+            for text in chunk.column("text").to_pylist():
+                whole = own.align(own.split(text))
+                found.append([{"a": a, "b": b} for a, b in whole.groups()] if whole.good.all() else [])
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("doc_id"), pa.array(found, kind)], names=["doc_id", "groups"]
             )
@@ -166,25 +206,40 @@ def _reduced(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number = pair(a_path, b_path), TaskContext.get().partitionId() << 32
         for chunk in tx.chunks(batches):
-            docs, keys, times = [], [], []
-            ids = chunk.column("doc_id").to_pylist()
-            for doc, one in zip(ids, own.align(chunk.column("text").to_pylist()), strict=True):
-                left, right = links(one)
-                a, b = np.array(one.a, np.int64)[left], np.array(one.b, np.int64)[right]
-                key, time = np.unique(a << 32 | b, return_counts=True)
-                keys.append(key)
-                times.append(time)
-                digest = sha256(group_text(one).encode()).hexdigest() if one.a else ""
-                sizes = (len(one.a), len(one.b), len(one.cuts), len(left))
-                docs.append((doc, *sizes, digest, len(key)))
-            pairs, place, held = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            fields = [pa.array(x, kind.field(i).type) for i, x in enumerate(zip(*docs, strict=True))]
+            split = [own.split(x) for x in chunk.column("text").to_pylist()]
+            place = {x: i for i, x in enumerate(set().union(*split))}
+            units = own.align(list(place))
+            sizes, texts = units.tokens(), units.texts()
+            at = np.fromiter((place[x] for one in split for x in one), np.int64)
+            ends = np.r_[0, np.cumsum([len(x) for x in split])]
+            # A text with a unit that a side changes has no tokens at all.
+            good = np.diff(np.r_[0, np.cumsum(~units.good[at])][ends]) == 0
+            totals = np.diff(np.vstack([np.zeros((1, 4), np.int64), np.cumsum(sizes[at], 0)])[ends], axis=0) * good[:, None]
+            digests = [
+                sha256(";".join([texts[place[x]] for x in one]).encode()).hexdigest() if one and ok else ""
+                for one, ok in zip(split, good, strict=True)
+            ]
+            # The links of every unit, then of every text, as places among the chunk's id pairs.
+            pairs, of_unit = np.unique(units.links(), return_inverse=True)
+            doc = np.repeat(np.arange(len(split)), np.diff(ends))
+            at, doc = at[good[doc]], doc[good[doc]]
+            each = sizes[at, 3]
+            first = np.r_[0, np.cumsum(sizes[:, 3])][at]
+            inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            link = of_unit[np.repeat(first, each) + inside]
+            key, times = np.unique(np.repeat(doc, each) * max(len(pairs), 1) + link, return_counts=True)
+            doc, link = np.divmod(key, max(len(pairs), 1))
+            held = np.bincount(link, minlength=len(pairs))
+            # Pairs that only texts without tokens would have had go.
+            pairs, link, held = pairs[held > 0], (np.cumsum(held > 0) - 1)[link], held[held > 0]
+            columns = [chunk.column("doc_id").to_pylist(), *totals.T, digests, np.bincount(doc, minlength=len(split))]
+            fields = [pa.array(x, kind.field(i).type) for i, x in enumerate(columns)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number], pa.int64()),
-                    pa.ListArray.from_arrays([0, len(docs)], pa.StructArray.from_arrays(fields, fields=list(kind))),
-                    pa.array([tx.pack(place)], pa.binary()),
-                    pa.array([tx.pack(np.concatenate(times))], pa.binary()),
+                    pa.ListArray.from_arrays([0, len(split)], pa.StructArray.from_arrays(fields, fields=list(kind))),
+                    pa.array([tx.pack(link)], pa.binary()),
+                    pa.array([tx.pack(times)], pa.binary()),
                     pa.array([pairs], pa.list_(pa.int64())),
                     pa.array([held], pa.list_(pa.int64())),
                 ],
