@@ -21,6 +21,7 @@ from tillclose.llm import (
     quality_rules,
     substring,
     token_counts,
+    vectors,
 )
 from tillclose.session import prepare
 
@@ -97,6 +98,10 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return proofs.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
 
 
+def op13_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.linked(_table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_pii,
         op11_tokenizer_alignment,
         op12_merkle_manifest,
+        op13_embedding_near_dedup,
     )
 }
 
@@ -308,10 +314,31 @@ LEFT JOIN p ON p.tree = l.tree AND p.idx = l.idx
 """
 
 
+_OP13 = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y
+  ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+r AS (
+  WITH RECURSIVE reach(a, b) AS (
+    SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+  SELECT a, min(b) AS low FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(r.low, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(r.low, vec_id)) AS kept
+FROM embeddings LEFT JOIN r ON r.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
 ORACLES = {
     "op2_ngram_jaccard_join": _OP2,
     "op4_substring_dedup": _OP4,
     "op6_license_scan": _op6(),
     "op9_quality_rules": _op9(),
     "op12_merkle_manifest": _op12(),
+    "op13_embedding_near_dedup": _OP13,
 }
