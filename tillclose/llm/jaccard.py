@@ -13,7 +13,8 @@ Two documents link when ``100 * |A n B| >= 75 * |A u B|`` for their sets of word
    the same tiles and the widest bound.
 4. Leader rounds: in a tile everyone of another component meets one leader, a different one in each
    round. Pairs whose parity bitmaps differ in more bits than two linked sets can differ in elements
-   are dropped; the rest are verified by intersecting sorted arrays. Connected components follow.
+   are dropped; of the rest one per class is verified in a round, by intersecting sorted arrays. Connected
+   components follow.
 5. Last round: all pairs of *different* components of a tile that are left; position and bitmap bounds
    drop most in the tile, the rest are verified. A family of thousands of near copies is one component
    by then and costs nothing, while no link between components can be missed.
@@ -126,9 +127,8 @@ def _profile(width: int) -> Callable:
                     pa.array([len(x) for x in sets], pa.int64()),
                     pa.array(low, pa.int64()),
                     pa.array(high, pa.int64()),
-                    pa.array([signature(x) for x in sets], pa.binary()),
                 ],
-                names=["doc_id", "own_id", "one", "two", "n", "low", "high", "sign"],
+                names=["doc_id", "own_id", "one", "two", "n", "low", "high"],
             )
 
     return run
@@ -315,9 +315,15 @@ def _block_pairs(table: pa.Table) -> pa.Table:
 def _pack_sets(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.chunks(batches):
-            sets = [x.tobytes() for x in row_sets(chunk, width)]
+            sets = row_sets(chunk, width)
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "shingles"]
+                [
+                    chunk.column("doc_id"),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([signature(x) for x in sets], pa.binary()),
+                    pa.array([x.tobytes() for x in sets], pa.binary()),
+                ],
+                names=["doc_id", "n", "sign", "shingles"],
             )
 
     return run
@@ -336,10 +342,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that link, by intersecting the exact sets."""
+    """Pairs that link, by intersecting the exact sets.
+
+    Only sets that a pair names travel: that of ``b`` once per pair, that of ``a`` once.
+    """
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("a_set"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("b_set"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set")
+    left = left.join(pairs.select("a").distinct(), "a", "left_semi")
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "a_set", "b_set")
     return joined.mapInArrow(_verify, "a long, b long")
 
 
@@ -374,26 +384,39 @@ def _known(postings: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 
 def _leader_pairs(known: DataFrame, turn: int) -> DataFrame:
-    """Everyone of a tile with one leader of the tile's band and another component."""
+    """Everyone (``b``) of a tile with one leader (``a``) of the tile's band and another component."""
     order = F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "component")
     leaders = known.groupBy("shingle", F.col("band").alias("tile")).agg(F.min(order).alias("leader"))
     met = _tiles(known).join(leaders, ["shingle", "tile"]).filter("component <> leader.component")
     met = met.filter("4 * least(n, leader.n) >= 3 * greatest(n, leader.n)")
-    low, high = F.least("doc_id", "leader.doc_id"), F.greatest("doc_id", "leader.doc_id")
-    return met.select(low.alias("a"), high.alias("b")).distinct()
+    return met.select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def _one_each(pairs: DataFrame, turn: int) -> DataFrame:
+    """One leader for every ``b``, which is enough to join it to its component; others wait for later rounds."""
+    first = F.min(F.struct(F.xxhash64("a", F.lit(turn)), "a")).alias("first")
+    return pairs.groupBy("b").agg(first).select("first.a", "b")
+
+
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """Pairs that were not verified before, in either order."""
+    if tried is None:
+        return pairs
+    both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(both, ["a", "b"], "left_anti")
 
 
-def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose bitmaps allow a link."""
     for side in ("a", "b"):
-        own = classes.select(
+        own = sets.select(
             F.col("doc_id").alias(side), F.col("n").alias(f"{side}_n"), F.col("sign").alias(f"{side}_sign")
         )
         pairs = pairs.join(own, side)
     return pairs.select("a", "b", "a_n", "b_n", "a_sign", "b_sign").mapInArrow(_bitmap_pairs, "a long, b long")
 
 
-def _last_pairs(known: DataFrame, classes: DataFrame, tile: int) -> DataFrame:
+def _last_pairs(known: DataFrame, sets: DataFrame, tile: int) -> DataFrame:
     """All pairs of different components that meet in a tile and that the bounds allow."""
     rows = _tiles(known)
     sizes = rows.groupBy("shingle", "tile").agg(
@@ -404,7 +427,7 @@ def _last_pairs(known: DataFrame, classes: DataFrame, tile: int) -> DataFrame:
     sizes = sizes.filter("open AND any_home").select(
         "shingle", "tile", F.ceil(F.col("size") / tile).cast("int").alias("blocks")
     )
-    rows = rows.join(sizes, ["shingle", "tile"]).join(classes.select("doc_id", "sign"), "doc_id")
+    rows = rows.join(sizes, ["shingle", "tile"]).join(sets.select("doc_id", "sign"), "doc_id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
@@ -415,16 +438,15 @@ def members(docs: DataFrame, width: int = WIDTH, tile: int = TILE) -> DataFrame:
     """``doc_id, n``, the prints ``one`` and ``two`` of every row, and ``lead``: id and prints of the
     component's row with the smallest id (null without words)."""
     docs = _documents(docs)
-    schema = "doc_id long, own_id long, one long, two long, n long, low long, high long, sign binary"
+    schema = "doc_id long, own_id long, one long, two long, n long, low long, high long"
     profile = written(docs.mapInArrow(_profile(width), schema), "sets")
     filled = profile.filter("n > 0")
     # A document counts once, as in the document frequencies, also if its row is repeated.
     lead = F.min(F.struct(F.col("own_id").alias("doc_id"), "one", "two")).alias("lead")
-    once = filled.groupBy("n", "low", "high", "doc_id").agg(F.first("sign").alias("sign"), lead)
+    once = filled.groupBy("n", "low", "high", "doc_id").agg(lead)
     classes = once.groupBy("n", "low", "high").agg(
         F.min("doc_id").alias("doc_id"),
         F.count(F.lit(1)).alias("copies"),
-        F.first("sign").alias("sign"),
         F.min("lead").alias("lead"),
     )
     classes = written(classes, "classes")
@@ -441,19 +463,19 @@ def members(docs: DataFrame, width: int = WIDTH, tile: int = TILE) -> DataFrame:
     )
     postings = written(_met(written(postings, "postings")), "tiles")
     wanted = postings.select("doc_id").distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_pack_sets(width), "doc_id long, shingles binary")
-    sets = written(sets, "shingles").dropDuplicates(["doc_id"])
+    # A repeated row has its set once; from here on sets are read where they were written.
+    schema = "doc_id long, n long, sign binary, shingles binary"
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_pack_sets(width), schema)
+    sets = written(sets.dropDuplicates(["doc_id"]), "shingles")
     tried = links = parts = None
     for turn in range(_LEADER_ROUNDS):
-        pairs = _leader_pairs(_known(postings, parts), turn)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(_linked(_possible(pairs, classes), sets), "links")
+        pairs = _untried(_leader_pairs(_known(postings, parts), turn), tried)
+        pairs = written(_one_each(_possible(pairs, sets), turn), "pairs")
+        found = written(_linked(pairs, sets), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         parts = written(components(links), "parts")
-    pairs = _last_pairs(_known(postings, parts), classes, tile).join(tried, ["a", "b"], "left_anti")
+    pairs = written(_untried(_last_pairs(_known(postings, parts), sets, tile), tried), "pairs")
     links = links.unionByName(written(_linked(pairs, sets), "links"))
     parts = written(components(links), "parts").select(F.col("node").alias("rep"), F.col("component").alias("root"))
     own = classes.select("n", "low", "high", F.col("doc_id").alias("rep"), "lead")
