@@ -208,12 +208,23 @@ FROM g
 
 def _op9() -> str:
     names = list(quality_rules.SPREADS)
+    quarters = {"q1": 0.25, "q3": 0.75}
+
+    def quartiles(level: str) -> str:
+        return ", ".join(f"quantile_disc({k}, {at}) AS {level}_{k}_{q}" for k in names for q, at in quarters.items())
+
+    def drawn(name: str, q: str) -> str:
+        out = f"all_{name}_{q}"
+        for level in ("lang", "own"):
+            weight = f"({level}_size / ({level}_size + {quality_rules.PRIOR}))"
+            out = f"({weight} * {level}_{name}_{q} + (1 - {weight}) * {out})"
+        return f"{out} AS {name}_{q}"
+
+    moved = ", ".join(drawn(k, q) for k in names for q in quarters)
     fences = ", ".join(
-        f"quantile_disc({k}, 0.75) + 3.0 * greatest(quantile_disc({k}, 0.75) - quantile_disc({k}, 0.25), "
-        f"{v}::DOUBLE) AS most_{k}"
-        for k, v in quality_rules.SPREADS.items()
+        f"{k}_q3 + 3.0::DOUBLE * greatest({k}_q3 - {k}_q1, {v}::DOUBLE) AS most_{k}" for k, v in quality_rules.SPREADS.items()
     )
-    outside = " OR ".join(f"m.{k} > coalesce(g.most_{k}, a.most_{k})" for k in names)
+    outside = " OR ".join(f"m.{k} > f.most_{k}" for k in names)
     return rf"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, lang, source, coalesce(text, '') AS text, {_SPLIT.format("coalesce(text, '')")} AS words,
@@ -239,12 +250,14 @@ m AS MATERIALIZED (
     (n_dup_lines / n_lines)::DOUBLE AS dup_lines,
     CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END::DOUBLE AS repeats,
     CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END::DOUBLE AS word_length FROM c),
-g AS (SELECT lang, source, {fences} FROM m WHERE NOT base_failed GROUP BY lang, source
-      HAVING count(*) >= {quality_rules.LEAST_GROUP}),
-a AS (SELECT {fences} FROM m WHERE NOT base_failed)
+g AS (SELECT lang, source, count(*)::DOUBLE AS own_size, {quartiles("own")} FROM m WHERE NOT base_failed GROUP BY lang, source),
+l AS (SELECT lang, count(*)::DOUBLE AS lang_size, {quartiles("lang")} FROM m WHERE NOT base_failed GROUP BY lang),
+a AS (SELECT {quartiles("all")} FROM m WHERE NOT base_failed),
+q AS (SELECT g.lang, source, {moved} FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang, a),
+f AS (SELECT lang, source, {fences} FROM q)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR coalesce({outside}, FALSE)) AS kept
-FROM m LEFT JOIN g ON m.lang IS NOT DISTINCT FROM g.lang AND m.source IS NOT DISTINCT FROM g.source, a
+FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
 """
 
 
