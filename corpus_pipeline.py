@@ -6,6 +6,8 @@ a lost executor costs one stage at most. Stages but the last return the columns
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +35,12 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = own.groupBy("one", "two").agg(F.max(go).alias("go"), F.count(F.lit(1)).alias("rows"))
     told = written(rows.filter("go OR rows > 1").select("one", "two", "go"), "copies")
     one, two = jaccard.row_prints(docs)
-    docs = docs.withColumns({"_n_one": one, "_n_two": two})
-    match = (docs["_n_one"] == told["one"]) & (docs["_n_two"] == told["two"])
-    once = docs.join(told.filter("NOT go"), match, "left_semi").dropDuplicates(["_n_one", "_n_two"])
-    return docs.join(told, match, "left_anti").unionByName(once).drop("_n_one", "_n_two")
+    # Names that no column of the documents can have.
+    names = [f"print_{uuid.uuid4().hex}" for _ in range(2)]
+    docs = docs.withColumns(dict(zip(names, (one, two), strict=True)))
+    match = (docs[names[0]] == told["one"]) & (docs[names[1]] == told["two"])
+    once = docs.join(told.filter("NOT go"), match, "left_semi").dropDuplicates(names)
+    return docs.join(told, match, "left_anti").unionByName(once).drop(*names)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +50,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the text is replaced by its kind; ``n_chars`` follows."""
+    """Personal data in the text is replaced by its kind; ``n_chars``, where there is one, follows."""
     prepare(spark)
     out = pii.masked(docs)
+    if "n_chars" not in docs.columns:
+        return out
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
