@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillclose.session import cut, scratch_path
@@ -31,6 +31,29 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Bits of the filter of ``may_hold``: 2 MB of bitmaps, whatever the number of keys.
+FILTER_BITS = 1 << 24
+
+
+def may_hold(frame: DataFrame, key: Column, keys: DataFrame, name: str = "may") -> DataFrame:
+    """The frame with a flag ``name``: false only where no row of ``keys`` (one long column) equals ``key``.
+
+    What is false can skip a join, so rows are shuffled in proportion to the keys and not to the frame. The
+    bitmaps, at most ``FILTER_BITS / 32768`` rows of 4 KB, are broadcast: their size has a bound. With more
+    keys than bits everything may hold and only the exact join remains.
+    """
+    bit = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(FILTER_BITS)) + 1
+    bits = keys.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits")
+    )
+    own = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    at = F.bitmap_bit_position(own)
+    octet = F.conv(F.hex(F.substring(bits["_bits"], F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    held = F.call_function("shiftright", octet, at.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    joined = frame.join(F.broadcast(bits), F.bitmap_bucket_number(own) == bits["_bucket"], "left")
+    return joined.select(*(frame[x] for x in frame.columns), F.coalesce(held, F.lit(False)).alias(name))
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts; sizes the number of hash buckets."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

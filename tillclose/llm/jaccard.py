@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillclose.llm import text as tx
-from tillclose.llm.frames import bucket_count, components, written
+from tillclose.llm.frames import bucket_count, components, may_hold, written
 
 WIDTH, NUM, DEN = 5, 3, 4
 TILE = 4096
@@ -191,7 +191,7 @@ def _frequent(buckets: int) -> Callable:
         count = count[group]
         keep = count > 1
         docs, hashes, count = docs[keep], hashes[keep], count[keep]
-        part = (tx.mix(docs.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        part = _part(docs, buckets)
         order = np.lexsort((docs, part))
         docs, hashes, count, part = docs[order], hashes[order], count[order], part[order]
         cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, int)
@@ -213,22 +213,44 @@ def _frequent(buckets: int) -> Callable:
     return run
 
 
-def _by_document(table: pa.Table) -> pa.Table:
-    docs = np.concatenate([tx.unpack(x).view(np.int64) for x in table.column("docs").to_pylist()])
-    hashes = tx.unpack_raw(b"".join(table.column("hashes").to_pylist()), 8).view(np.int64)
-    counts = np.concatenate([tx.unpack(x).view(np.int64) for x in table.column("counts").to_pylist()])
+def _part(docs: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each document; ``_part_of`` says the same to Spark."""
+    return (docs ^ (docs >> 17) ^ (docs >> 34)) & (parts - 1)
+
+
+def _part_of(doc: Column, parts: int) -> Column:
+    spread = doc.bitwiseXOR(F.shiftright(doc, 17)).bitwiseXOR(F.shiftright(doc, 34))
+    return spread.bitwiseAND(F.lit(parts - 1).cast("long")).cast("int")
+
+
+def _post(shared: pa.Table, classes: pa.Table) -> pa.Table:
+    """The rarest shingles of each class, with the rank they have in it."""
+    names = ["shingle", "doc_id", "n", "rank", "band"]
+    empty = pa.table([pa.array([], pa.int64())] * 5, names=names)
+    if not shared.num_rows or not classes.num_rows:
+        return empty
+    docs = np.concatenate([tx.unpack(x).view(np.int64) for x in shared.column("docs").to_pylist()])
+    hashes = tx.unpack_raw(b"".join(shared.column("hashes").to_pylist()), 8).view(np.int64)
+    counts = np.concatenate([tx.unpack(x).view(np.int64) for x in shared.column("counts").to_pylist()])
+    reps, sizes, copies = (classes.column(x).to_numpy() for x in ("doc_id", "n", "copies"))
+    turn = np.argsort(reps)
+    reps, sizes, copies = reps[turn], sizes[turn], copies[turn]
+    at = np.minimum(np.searchsorted(reps, docs), len(reps) - 1)
+    # Only representatives post, and only shingles that not just copies of their class hold; those come first.
+    keep = (reps[at] == docs) & (counts > copies[at])
+    docs, hashes, counts, at = docs[keep], hashes[keep], counts[keep], at[keep]
     order = np.lexsort((hashes, counts, docs))
-    docs, hashes, counts = docs[order], hashes[order], counts[order]
-    ids, low = np.unique(docs, return_index=True)
-    offsets = pa.array(np.r_[low, len(docs)].astype(np.int32))
-    return pa.table(
-        [
-            pa.array(ids),
-            pa.ListArray.from_arrays(offsets, pa.array(hashes)),
-            pa.ListArray.from_arrays(offsets, pa.array(counts)),
-        ],
-        names=["doc_id", "hashes", "counts"],
-    )
+    docs, hashes, at = docs[order], hashes[order], at[order]
+    if not len(docs):
+        return empty
+    first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    held = np.diff(np.r_[first, len(docs)])
+    nth = np.arange(len(docs)) - np.repeat(first, held)
+    n = sizes[at]
+    alone = n - np.repeat(held, held)
+    keep = nth < n - -(-n * NUM // DEN) + 1 - alone
+    columns = [hashes[keep], docs[keep], n[keep], (alone + nth)[keep], band(n[keep].astype(np.float64))]
+    return pa.table([pa.array(x) for x in columns], names=names)
 
 
 def band(size: np.ndarray) -> np.ndarray:
@@ -236,38 +258,6 @@ def band(size: np.ndarray) -> np.ndarray:
     return np.floor(np.log(size) / np.log(DEN / NUM) + 1e-9).astype(np.int64)
 
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rarest shingles of each class, with the rank they have in it."""
-    for batch in batches:
-        ids, hashes, ranks, sizes = [], [], [], []
-        columns = [batch.column(x) for x in ("doc_id", "n", "copies")]
-        for i, (doc, n, copies) in enumerate(zip(*(x.to_pylist() for x in columns), strict=True)):
-            counts = np.asarray(batch.column("counts")[i].values)
-            # Shingles that only copies of this class hold cannot link it; they come first.
-            others = counts > copies
-            alone = n - int(others.sum())
-            wanted = n - -(-n * NUM // DEN) + 1 - alone
-            if wanted <= 0:
-                continue
-            own = np.asarray(batch.column("hashes")[i].values)[others][:wanted]
-            ids += [doc] * len(own)
-            hashes.append(own)
-            ranks.append(alone + np.arange(len(own)))
-            sizes += [n] * len(own)
-        if not ids:
-            continue
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate(hashes)),
-                pa.array(ids, pa.int64()),
-                pa.array(sizes, pa.int64()),
-                pa.array(np.concatenate(ranks)),
-                pa.array(band(np.array(sizes, np.float64))),
-            ],
-            names=["shingle", "doc_id", "n", "rank", "band"],
-        )
-
-
 def _bitmap_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose bitmaps allow a link."""
     for batch in batches:
@@ -455,17 +445,18 @@ def members(docs: DataFrame, width: int = WIDTH, tile: int = TILE) -> DataFrame:
         docs.mapInArrow(_send(width, buckets), "bucket int, docs binary, hashes binary")
         .groupBy("bucket")
         .applyInArrow(_frequent(buckets), "part int, docs binary, hashes binary, counts binary")
-        .groupBy("part")
-        .applyInArrow(_by_document, "doc_id long, hashes array<long>, counts array<long>")
     )
-    postings = shared.join(classes.select("doc_id", "n", "copies"), "doc_id").mapInArrow(
+    reps = classes.select(_part_of(F.col("doc_id"), buckets).alias("part"), "doc_id", "n", "copies")
+    postings = shared.groupBy("part").cogroup(reps.groupBy("part")).applyInArrow(
         _post, "shingle long, doc_id long, n long, rank long, band long"
     )
     postings = written(_met(written(postings, "postings")), "tiles")
-    wanted = postings.select("doc_id").distinct()
-    # A repeated row has its set once; from here on sets are read where they were written.
+    wanted = written(postings.select("doc_id").distinct(), "wanted")
+    # Texts are not shuffled: those that may be wanted are cut to sets first. A repeated row has its set
+    # once, and from here on sets are read where they were written.
     schema = "doc_id long, n long, sign binary, shingles binary"
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_pack_sets(width), schema)
+    near = may_hold(docs.select("doc_id", "text"), docs["doc_id"], wanted).filter("may").select("doc_id", "text")
+    sets = near.mapInArrow(_pack_sets(width), schema).join(wanted, "doc_id", "left_semi")
     sets = written(sets.dropDuplicates(["doc_id"]), "shingles")
     tried = links = parts = None
     for turn in range(_LEADER_ROUNDS):
