@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillclose.llm import bpe, decontaminate, jaccard, pii, quality_rules
-from tillclose.llm.frames import written
+from tillclose.llm.frames import may_hold, written
 from tillclose.session import prepare
 
 
@@ -36,11 +36,15 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     told = written(rows.filter("go OR rows > 1").select("one", "two", "go"), "copies")
     one, two = jaccard.row_prints(docs)
     # Names that no column of the documents can have.
-    names = [f"print_{uuid.uuid4().hex}" for _ in range(2)]
-    docs = docs.withColumns(dict(zip(names, (one, two), strict=True)))
+    names = [f"print_{uuid.uuid4().hex}" for _ in range(3)]
+    docs = docs.withColumns(dict(zip(names[:2], (one, two), strict=True)))
+    # Rows that cannot be among the copies need no join and no shuffle.
+    may = F.col(names[2])
+    split = may_hold(docs, docs[names[0]], told.select("one"), names[2])
+    rest, docs = split.filter(~may).drop(names[2]), split.filter(may).drop(names[2])
     match = (docs[names[0]] == told["one"]) & (docs[names[1]] == told["two"])
-    once = docs.join(told.filter("NOT go"), match, "left_semi").dropDuplicates(names)
-    return docs.join(told, match, "left_anti").unionByName(once).drop(*names)
+    once = docs.join(told.filter("NOT go"), match, "left_semi").dropDuplicates(names[:2])
+    return rest.unionByName(docs.join(told, match, "left_anti")).unionByName(once).drop(*names[:2])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
