@@ -27,11 +27,12 @@ empty table gives an empty result. Other columns are never read.
 from __future__ import annotations
 
 import io
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillclose.llm.frames import components, written
@@ -242,16 +243,29 @@ def audited(graph: Graph, queries: np.ndarray, least: np.ndarray, limit: float)
     return *np.nonzero(queries @ graph.vectors.T >= least[:, None]), beam
 
 
-def unit(vector: Column) -> Column:
-    """The vector in double precision at length one; null if it has no direction."""
-    own = vector.cast("array<double>")
-    plain = F.forall(own, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    # Scaled by the largest component first, so that no square overflows or vanishes.
-    largest = F.array_max(F.transform(own, F.abs))
-    largest = F.when(largest > 0, largest)
-    scaled = F.transform(own, lambda x: x / largest)
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(plain & largest.isNotNull(), F.transform(scaled, lambda x: x / length))
+def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``vector`` at length one, null where it has no direction, and its length ``dim``."""
+    for batch in batches:
+        given = batch.column("embedding")
+        sizes = pc.fill_null(pc.list_value_length(given), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = pc.fill_null(given.flatten(), np.nan).to_numpy(zero_copy_only=False)
+        some = np.flatnonzero(sizes)
+        largest, length = np.zeros(len(sizes)), np.ones(len(sizes))
+        with np.errstate(all="ignore"):
+            if len(some):
+                first = (np.cumsum(sizes) - sizes)[some]
+                largest[some] = np.maximum.reduceat(np.abs(values), first)
+                # Scaled by the largest component first, so that no square overflows or vanishes.
+                values = values / np.repeat(largest, sizes)
+                length[some] = np.sqrt(np.add.reduceat(values * values, first))
+            good = np.isfinite(largest) & (largest > 0)
+            values = (values / np.repeat(length, sizes))[np.repeat(good, sizes)]
+        offsets = np.r_[0, np.cumsum(np.where(good, sizes, 0))].astype(np.int32)
+        vector = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~good))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("vec_id"), batch.column("label"), pa.array(sizes, pa.int32()), vector],
+            names=["vec_id", "label", "dim", "vector"],
+        )
 
 
 def _matrix(column) -> np.ndarray:
@@ -388,8 +402,11 @@ def _verified(least: float) -> Callable:
 
 def linked(vectors: DataFrame, least: float = LEAST, shard: int = SHARD) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vec_id, embedding, label``."""
-    own = unit(vectors["embedding"])
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.size(own).alias("dim"), own.alias("vector"))
+    label = f"label {vectors.schema['label'].dataType.simpleString()}"
+    given = vectors.select(
+        vectors["vec_id"].cast("long").alias("vec_id"), "label", vectors["embedding"].cast("array<double>").alias("embedding")
+    )
+    rows = given.mapInArrow(units, f"vec_id long, {label}, dim int, vector array<double>")
     good = F.col("label").isNotNull() & F.col("vector").isNotNull()
     one, two = (F.when(good, F.xxhash64("label", "vector", F.lit(i))) for i in (0, 1))
     rows = written(rows.select("vec_id", "label", "dim", "vector", one.alias("one"), two.alias("two")), "vectors")
@@ -400,7 +417,6 @@ def linked(vectors: DataFrame, least: float = LEAST, shard: int = SHARD) -> Data
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     shards = written(classes.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / shard).alias("shards")), "shards")
     dealt = classes.join(shards, group).withColumn("shard", F.pmod(F.xxhash64("class"), "shards"))
-    label = f"label {vectors.schema['label'].dataType.simpleString()}"
     balls = dealt.select(*group, "shard", "class", "copies", "vector").groupBy(*group, "shard")
     balls = written(balls.applyInArrow(_shard_balls(float(np.arccos(least))), f"{label}, {_BALL}"), "balls")
     kind = f"{label}, dim int, shard long, balls binary, radii binary, graph binary"
