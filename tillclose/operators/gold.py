@@ -55,6 +55,80 @@ def advance_gold(previous: DataFrame | None, state: DataFrame, dates: DataFrame,
     return previous.join(dates, "business_date", "left_anti").unionByName(rebuilt)
 
 
+SALE_DAY = ["business_date", "store_id", "source_system", "sale_id"]
+
+
+def sale_lines(state: DataFrame) -> DataFrame:
+    """Active lines of every sale on each day: what tells whether a sale still counts."""
+    return active_lines(state).groupBy(*SALE_DAY).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def sale_deltas(lines: DataFrame | None, changes: DataFrame) -> DataFrame:
+    """Sales whose lines a batch changes: ``lines`` before and ``change``. Only their keys are joined."""
+    moved = changes.groupBy(*SALE_DAY).agg(F.sum("sign").alias("change")).filter("change <> 0")
+    if lines is None:
+        return moved.withColumn("lines", F.lit(0).cast("bigint"))
+    return moved.join(lines, SALE_DAY, "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+
+
+def advance_sale_lines(lines: DataFrame | None, deltas: DataFrame) -> DataFrame:
+    """The table of sale lines after a batch; sales without lines leave it."""
+    now = deltas.select(*SALE_DAY, (F.col("lines") + F.col("change")).alias("lines")).filter("lines > 0")
+    if lines is None:
+        return now
+    return lines.join(deltas.select(*SALE_DAY), SALE_DAY, "left_anti").unionByName(now)
+
+
+def _signed(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of a batch's changes: what it brings less what it takes away."""
+    return changes.groupBy(*keys).agg(
+        F.sum(F.col("line_net_brl") * F.col("sign")).alias("revenue"),
+        F.sum(F.col("quantity") * F.col("sign")).alias("quantity"),
+        F.sum("sign").alias("rows"),
+    )
+
+
+def _moved(previous: DataFrame | None, deltas: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """A table of sums after its deltas. Rows are added up by key, so a key that no delta names passes as it is;
+    a row without lines leaves."""
+    rows = deltas.select(*keys, *(F.col(new).cast("decimal(38,2)" if old == "net_revenue_brl" else "bigint").alias(old) for old, new in sums.items()))
+    if previous is not None:
+        # The touched keys alone meet the deltas; the others are not shuffled with them.
+        named = deltas.select(*keys)
+        touched = previous.join(named, keys, "left_semi").select(*rows.columns)
+        rows = rows.unionByName(touched)
+    return rows.groupBy(*keys).agg(*(F.sum(x).alias(x) for x in sums)).filter("item_lines > 0")
+
+
+def advance_store_day(previous: DataFrame | None, changes: DataFrame, sales: DataFrame) -> DataFrame:
+    """``gold_store_day`` after a batch, from the previous table and signed changes.
+
+    ``sales`` are ``sale_deltas``: a sale whose lines go from none to some counts once more, from some to none
+    once less. Nothing of the state is read beyond the delivered items.
+    """
+    keys = ["business_date", "store_id"]
+    turn = F.when(F.col("lines") == 0, 1).when(F.col("lines") + F.col("change") == 0, -1).otherwise(0)
+    counted = sales.groupBy(*keys).agg(F.sum(turn).alias("sales"))
+    deltas = _signed(changes, keys).join(counted, keys, "left").withColumn("sales", F.coalesce("sales", F.lit(0)))
+    sums = {"net_revenue_brl": "revenue", "units": "quantity", "item_lines": "rows", "sales_count": "sales"}
+    moved = _moved(previous, deltas, keys, sums)
+    # As wide as the sum of the full build, so that the quotient is rounded alike.
+    revenue = F.col("net_revenue_brl").cast("decimal(34,2)")
+    moved = moved.withColumn("average_ticket_brl", _money(revenue / F.col("sales_count"))).withColumn(
+        "net_revenue_brl", _money(F.col("net_revenue_brl"))
+    )
+    return moved if previous is None else previous.join(deltas.select(*keys), keys, "left_anti").unionByName(moved)
+
+
+def advance_product_day(previous: DataFrame | None, changes: DataFrame) -> DataFrame:
+    """``gold_product_day`` after a batch, from the previous table and signed changes."""
+    keys = ["business_date", "product_id"]
+    deltas = _signed(changes, keys)
+    sums = {"net_revenue_brl": "revenue", "units": "quantity", "item_lines": "rows"}
+    moved = _moved(previous, deltas, keys, sums).withColumn("net_revenue_brl", _money(F.col("net_revenue_brl")))
+    return moved if previous is None else previous.join(deltas.select(*keys), keys, "left_anti").unionByName(moved)
+
+
 def table_totals(frame: DataFrame, revenue: str, units: str, lines: str | None) -> DataFrame:
     """Grand totals; ``lines`` names the column to sum, None counts the rows."""
     counted = F.count(F.lit(1)) if lines is None else F.sum(lines)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tillclose.operators.row_contract import active_lines
 from tillclose.schemas import ITEM_KEY, REVISION_KEY, SALE_KEY
+from tillclose.session import cut
 
 PAYLOAD_KEY = [*REVISION_KEY, "payload_hash"]
 ARRIVAL = ["batch_id", "source_file", "source_line"]
@@ -79,6 +80,63 @@ def stale_revisions(previous: DataFrame | None, incoming: DataFrame) -> DataFram
     return incoming.join(newest, ITEM_KEY).filter("revision < max_revision")
 
 
+def revision_facts(previous: DataFrame | None, incoming: DataFrame) -> DataFrame:
+    """What history and delivery say about each payload delivered, from one scan of the history.
+
+    Per revision key and payload: its ``copies`` in the delivery, how often it is ``stored``, the distinct
+    ``payloads`` of its revision, how many history rows the revision has (``known``), and the highest revision of
+    its item. History is cut to the delivered items in the scan and reduced to one row per payload; everything
+    else is grouped from those rows, which are written once.
+    """
+    pool = incoming.select(*PAYLOAD_KEY, F.lit(0).alias("_old"))
+    if previous is not None:
+        delivered = incoming.select(*ITEM_KEY).distinct()
+        stored = previous.select(*PAYLOAD_KEY).join(delivered, ITEM_KEY, "left_semi")
+        pool = pool.unionByName(stored.withColumn("_old", F.lit(1)))
+    each = pool.groupBy(*PAYLOAD_KEY).agg(
+        F.sum(1 - F.col("_old")).alias("copies"), F.sum("_old").alias("stored")
+    )
+    each = cut(each)
+    revisions = each.groupBy(*REVISION_KEY).agg(
+        F.count(F.lit(1)).alias("payloads"), F.sum("stored").alias("known")
+    )
+    items = each.groupBy(*ITEM_KEY).agg(F.max("revision").alias("max_revision"))
+    return each.filter("copies > 0").join(revisions, REVISION_KEY).join(items, ITEM_KEY)
+
+
+def classified(incoming: DataFrame, facts: DataFrame) -> DataFrame:
+    """Incoming rows with ``is_conflict``, ``is_duplicate``, ``is_stale``, ``is_new`` and ``max_revision``.
+
+    A duplicate has its payload stored or delivered more than once; new is what brings a revision that the
+    history lacks. ``facts`` are those of the same delivery; a repeated row keeps its flags on every copy.
+    """
+    told = facts.select(
+        *PAYLOAD_KEY,
+        (F.col("payloads") > 1).alias("is_conflict"),
+        ((F.col("stored") > 0) | (F.col("copies") > 1)).alias("is_duplicate"),
+        (F.col("revision") < F.col("max_revision")).alias("is_stale"),
+        (F.col("known") == 0).alias("is_new"),
+        "max_revision",
+    )
+    return incoming.join(told, PAYLOAD_KEY)
+
+
+def revision_counts(facts: DataFrame) -> DataFrame:
+    """Rows of the delivery in conflict, repeated or stored before, and stale: one row from the facts alone."""
+    rows = F.coalesce(F.sum("copies"), F.lit(0))
+
+    def where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("copies"))), F.lit(0))
+
+    return facts.agg(
+        rows.alias("received"),
+        where(F.col("payloads") > 1).alias("conflicts"),
+        F.coalesce(F.sum(F.col("copies") - 1 + F.col("stored")), F.lit(0)).alias("duplicates"),
+        where(F.col("revision") < F.col("max_revision")).alias("stale"),
+        where(F.col("known") == 0).alias("new"),
+    )
+
+
 def _leading(rows: DataFrame, key: list[str], *rank: Column) -> DataFrame:
     """The row of each key with the smallest rank: a minimum, combined before the shuffle."""
     rest = F.struct(*(name for name in rows.columns if name not in key))
@@ -126,6 +184,19 @@ def advance_state(previous_state: DataFrame | None, added: DataFrame) -> DataFra
     return current_state(previous_state.unionByName(added))
 
 
+def signed_changes(previous_state: DataFrame | None, added: DataFrame) -> DataFrame:
+    """The active lines that a batch takes away (``sign`` -1) and brings (+1); lines it leaves alone are not read
+    beyond the scan that finds the delivered items."""
+    if previous_state is None:
+        return active_lines(current_state(added)).withColumn("sign", F.lit(1))
+    keys = added.select(*ITEM_KEY).distinct()
+    before = previous_state.join(keys, ITEM_KEY, "left_semi")
+    now = advance_state(before, added)
+    return (
+        active_lines(before).withColumn("sign", F.lit(-1)).unionByName(active_lines(now).withColumn("sign", F.lit(1)))
+    )
+
+
 def touched_dates(previous_state: DataFrame | None, state: DataFrame, added: DataFrame) -> DataFrame:
     """Business days whose figures may differ: those of the items the batch added to, before
     and after."""

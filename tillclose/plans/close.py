@@ -307,18 +307,16 @@ def _check_revisions(
     def counted(name: str, frame: DataFrame) -> DataFrame:
         return frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
 
-    conflicts = V.revision_conflict_rows(history, incoming)
+    # One scan of the history; the counts come from what it leaves.
+    facts = V.revision_facts(history, incoming)
+    conflicts = V.classified(incoming, facts).filter("is_conflict").select(*incoming.columns)
     split_rows = V.split_sale_rows(incoming, candidate_state)
-    checks = (
-        counted("conflicts", conflicts)
-        .unionByName(counted("stale", V.stale_revisions(history, incoming)))
-        .unionByName(counted("split_sales", V.split_sales(candidate_state)))
-        .unionByName(counted("split_rows", split_rows))
-        .unionByName(
-            V.exact_duplicates(history, incoming).select(
-                F.lit("duplicates").alias("name"), F.col("duplicates").alias("n")
-            )
-        )
+    counts = V.revision_counts(facts)
+    checks = counts.select(F.explode(F.array(*(
+        F.struct(F.lit(name).alias("name"), F.col(name).alias("n")) for name in ("conflicts", "duplicates", "stale")
+    ))).alias("c")).select("c.*")
+    checks = checks.unionByName(counted("split_sales", V.split_sales(candidate_state))).unionByName(
+        counted("split_rows", split_rows)
     )
     found = {row["name"]: row["n"] for row in checks.collect()}
     attempt.stats.update(
