@@ -28,8 +28,12 @@ def _order(names: list[str], seen: list[str]) -> list[str]:
 
 
 def compose(needs: list[str], sql: str, recursive: bool = False) -> str:
-    """``WITH`` clause of all parts needed, followed by the final select."""
-    parts = ",\n".join(f"{name} AS ({_PARTS[name][1]})" for name in _order(needs, []))
+    """``WITH`` clause of all parts needed, followed by the final select. A part that several read is
+    computed once."""
+    names = _order(needs, [])
+    readers = [reader for name in names for reader in _PARTS[name][0]] + needs
+    kinds = {name: "AS MATERIALIZED" if readers.count(name) > 1 else "AS" for name in names}
+    parts = ",\n".join(f"{name} {kinds[name]} ({_PARTS[name][1]})" for name in names)
     word = "WITH RECURSIVE" if recursive else "WITH"
     return f"{word} {parts}\n{sql}" if parts else sql
 
