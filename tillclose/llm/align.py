@@ -50,8 +50,9 @@ _BLOCK = 128
 
 def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
     """Per offset at which both sides end, in order: how many tokens of each end there or before."""
-    a_at, b_at = ({end: i for i, end in enumerate(x.tolist(), 1)} for x in (a_ends, b_ends))
-    return np.array([(a_at[end], b_at[end]) for end in sorted(a_at.keys() & b_at.keys())], np.int64).reshape(-1, 2)
+    a_at, b_at = (dict(zip(x.tolist(), range(1, len(x) + 1), strict=True)) for x in (a_ends, b_ends))
+    common = sorted(a_at.keys() & b_at.keys())
+    return np.array([list(map(x.__getitem__, common)) for x in (a_at, b_at)], np.int64).reshape(2, -1).T
 
 
 class Aligned:
@@ -85,16 +86,17 @@ class Aligned:
     def groups(self) -> list[tuple[list[int], list[int]]]:
         """The ids of each group."""
         a, b, out, i, j = self.a.tolist(), self.b.tolist(), [], 0, 0
-        for up, to in self.cuts.tolist():
+        for up, to in zip(*self.cuts.T.tolist(), strict=True):
             out.append((a[i:up], b[j:to]))
             i, j = up, to
         return out
 
     def texts(self) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of every unit: its groups with their ids in order."""
-        a, b = (list(map(str, x.tolist())) for x in (self.a, self.b))
+        # Few ids make up most tokens: each is written once.
+        a, b = (np.array(list(map(str, ids.tolist())), object)[at].tolist() for ids, at in (np.unique(x, return_inverse=True) for x in (self.a, self.b)))
         each, i, j = [], 0, 0
-        for up, to in self.cuts.tolist():
+        for up, to in zip(*self.cuts.T.tolist(), strict=True):
             each.append(f"{','.join(a[i:up])}|{','.join(b[j:to])}" if up - i + to - j > 2 else f"{a[i]}|{b[j]}")
             i, j = up, to
         return [";".join(each[low:high]) for low, high in pairwise([0, *self.ends.tolist()])]
