@@ -71,6 +71,21 @@ def referenced_versions(publications: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [tables, sources, profiles])
 
 
+def bucket_references(references: DataFrame, maps: DataFrame) -> DataFrame:
+    """Versions whose buckets a referenced version names: they are held with it. ``maps``: path, version, held."""
+    named = maps.select("path", "version", "held").distinct()
+    return (
+        references.join(named, ["path", "version"])
+        .filter("held <> version")
+        .select(
+            "publication_id",
+            F.concat("kind", F.lit(":bucket")).alias("kind"),
+            "path",
+            F.col("held").alias("version"),
+        )
+    )
+
+
 def unreferenced_versions(registry: DataFrame, references: DataFrame) -> DataFrame:
     """Versions no publication refers to. ``registry``: path, version."""
     held = references.filter("version IS NOT NULL").select("path", "version").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 from tillclose.operators.audit import current_publication
 from tillclose.schemas import PUBLICATION
 from tillclose.session import local_rows
+from tillclose.sources.buckets import Layout, load_layout, read_buckets
 
 REGISTRY = "table_name string, path string, version bigint, run_id string"
 
@@ -41,16 +42,25 @@ def read_table_version(spark: SparkSession, publication: Row, name: str) -> Data
     """A table exactly as the manifest names it.
 
     The history is stored as what each run added, partitioned by ``run_id``; a version of it is
-    the parts of the runs the publication accepted. Parts of failed runs are never read.
+    the parts of the runs the publication accepted. Parts of failed runs are never read. The
+    state is kept by buckets, each in the version that last changed it.
     """
     reference = publication["tables"][name]
     path = reference["path"]
+    if name == "silver":
+        return read_buckets(spark, state_layout(spark, publication))
     if name == "history":
         runs = [source["run_id"] for source in publication["sources"]]
         return spark.read.parquet(path).filter(F.col("run_id").isin(runs))
     return spark.read.parquet(path if name == "bronze" else f"{path}/version={reference['version']}")
 
 
+def state_layout(spark: SparkSession, publication: Row) -> Layout:
+    """Which version holds each bucket of the published state."""
+    reference = publication["tables"]["silver"]
+    return load_layout(spark, reference["path"], reference["version"])
+
+
 def read_published_snapshot(
     spark: SparkSession, root: str, names: list[str]
 ) -> tuple[Row | None, dict[str, DataFrame]]:
