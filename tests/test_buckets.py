@@ -83,7 +83,7 @@ def test_empty_tables_and_deliveries(spark, folder):
 def test_a_bucket_other_than_meant_is_refused(spark, folder, monkeypatch):
     layout = deliver(spark, folder, None, many(0, 5))
     real = B.table_fingerprint
-    monkeypatch.setattr(B, "table_fingerprint", lambda frame, by: real(frame.withColumn("x", B.F.rand()), by))
+    monkeypatch.setattr(B, "table_fingerprint", lambda frame, *by: real(frame.withColumn("x", B.F.rand()), *by))
     with pytest.raises(ValueError):
         deliver(spark, folder, layout, many(0, 2, 2))
 

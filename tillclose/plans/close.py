@@ -31,7 +31,7 @@ from tillclose.sinks import buckets as BK
 from tillclose.sinks import tables as W
 from tillclose.sources import delivery as IN
 from tillclose.sources import tables as TB
-from tillclose.sources.buckets import Layout, read_buckets, touched
+from tillclose.sources.buckets import read_buckets, touched
 
 REFERENCES = "reference_id string, catalog string, schedule string, digest string"
 EMPTY_STATS = ["received", "valid", "rejected", "violations", "duplicates", "conflicts", "stale",
@@ -473,11 +473,6 @@ def close_batch(
     return attempt
 
 
-def _touched_state(spark: SparkSession, layout: Layout | None, delivered: DataFrame) -> DataFrame | None:
-    """The published state in the buckets that a delivery touches."""
-    return None if layout is None else read_buckets(spark, layout, touched(layout, delivered))
-
-
 def _run(spark, root: str, folder: str, attempt: Attempt, validate_only: bool, budget: dict[str, int]) -> None:
     run_path = f"{root}/runs/run_id={attempt.run_id}"
     official = TB.load_publication(spark, root)
@@ -500,7 +495,8 @@ def _run(spark, root: str, folder: str, attempt: Attempt, validate_only: bool, b
         layout = TB.state_layout(spark, official) if official else None
         added = V.new_history_rows(previous["history"], incoming)
         # All lines of a sale share a bucket, so the delivered sales are whole in those they touch.
-        candidate = V.advance_state(_touched_state(spark, layout, incoming), added)
+        near = None if layout is None else read_buckets(spark, layout, touched(layout, incoming))
+        candidate = V.advance_state(near, added)
         if not _check_revisions(attempt, incoming, previous["history"], candidate, run_path):
             attempt.state = "BLOCKED"
             return
@@ -516,10 +512,12 @@ def _run(spark, root: str, folder: str, attempt: Attempt, validate_only: bool, b
         added = spark.read.parquet(f"{tables['history'].path}/run_id={attempt.run_id}").withColumn(
             "run_id", F.lit(attempt.run_id)
         )
-        before = _touched_state(spark, layout, added)
+        numbers = None if layout is None else touched(layout, added)
+        before = None if layout is None else read_buckets(spark, layout, numbers)
         after = BK.advance_buckets(
-            spark, root, "silver", attempt.run_id, layout, added, lambda rows: V.advance_state(rows, added)
-        )
+            spark, root, "silver", attempt.run_id, layout, added,
+            lambda rows: V.advance_state(rows, added), numbers=numbers,
+        )
         tables["silver"] = Row(path=after.path, version=after.version)
         state = read_buckets(spark, after)
     with _Stage(attempt, "gold"):

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillclose.operators.audit import table_fingerprint
+from tillclose.session import local_rows
 from tillclose.sinks.tables import next_version, register_version
 from tillclose.sources.buckets import (
     BUCKET_MAP,
     COLUMNS_ONLY,
     Layout,
     bucket_of,
-    load_layout,
     read_buckets,
     read_map,
     touched,
@@ -43,13 +43,15 @@ def advance_buckets(
     advance: Callable[[DataFrame | None], DataFrame],
     least_buckets: int = LEAST_BUCKETS,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    numbers: set[int] | None = None,
 ) -> Layout:
     """A new version of a table after a delivery.
 
     ``advance`` gets the rows of the buckets that ``delivered`` touches (None for the first version) and returns
     what they become; a row may not leave its sale. When the buckets hold twice ``rows_per_bucket`` on average
     their number doubles and this version writes them all. What was written is read back and must have the
-    digests of what was meant, bucket by bucket. A hot bucket is written by several tasks.
+    digests of what was meant, bucket by bucket. A hot bucket is written by several tasks. ``numbers`` are
+    the touched buckets where the caller knows them already.
     """
     if least_buckets & (least_buckets - 1):
         raise ValueError("the number of buckets is a power of two")
@@ -60,36 +62,36 @@ def advance_buckets(
     else:
         count = max(layout.count, _count_for(layout.rows, layout.count, 2 * rows_per_bucket))
         whole = count != layout.count
-        before = read_buckets(spark, layout, None if whole else touched(layout, delivered))
+        if numbers is None and not whole:
+            numbers = touched(layout, delivered)
+        before = read_buckets(spark, layout, None if whole else numbers)
     after = advance(before)
     marked = after.select(*sorted(after.columns), bucket_of(count).alias("bucket"))
     data = f"{path}/data/version={version}"
     marked.hint("rebalance", "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(data)
     stored = spark.read.schema(marked.schema).parquet(data)
-    prints = [table_fingerprint(frame, "bucket") for frame in (marked, stored)]
-    if not prints[0].exceptAll(prints[1]).isEmpty() or not prints[1].exceptAll(prints[0]).isEmpty():
+    both = marked.withColumn("_meant", F.lit(True)).unionByName(stored.withColumn("_meant", F.lit(False)))
+    prints = {True: {}, False: {}}
+    for row in table_fingerprint(both, "_meant", "bucket").collect():
+        entry = row.asDict()
+        prints[entry.pop("_meant")][row["bucket"]] = entry
+    if prints[True] != prints[False]:
         raise ValueError(f"the stored buckets of {name} differ from what was to be stored")
-    fresh = prints[1].select(
-        "bucket",
-        F.lit(count).alias("buckets"),
-        F.lit(version).cast("bigint").alias("held"),
-        "rows",
-        "digest_1",
-        "digest_2",
-    )
-    if layout is None or whole:
+    entries = {n: {**entry, "buckets": count, "held": version} for n, entry in prints[False].items()}
+    if whole:
         # Written beside the others, so that a table without rows still has columns.
         marked.drop("bucket").limit(0).write.mode("errorifexists").parquet(f"{data}/bucket={COLUMNS_ONLY}")
-        kept = spark.range(1).select(
-            *(F.lit(v).alias(n) for n, v in (("bucket", COLUMNS_ONLY), ("buckets", count), ("held", version))),
-            *(F.lit(0).alias(n) for n in ("rows", "digest_1", "digest_2")),
-        )
+        nothing = dict.fromkeys(("rows", "digest_1", "digest_2"), 0)
+        entries[COLUMNS_ONLY] = {"bucket": COLUMNS_ONLY, "buckets": count, "held": version, **nothing}
     else:
-        kept = read_map(spark, path, layout.version).join(fresh.select("bucket"), "bucket", "left_anti")
+        entries = layout.entries | entries
+    # Digests stay texts on the way: they have more digits than a JSON number is read with.
+    rows = [{key: str(value) for key, value in entry.items()} for entry in entries.values()]
     kinds = [entry.split() for entry in BUCKET_MAP.split(", ")]
-    lines = fresh.unionByName(kept).select(*(F.col(n).cast(kind) for n, kind in kinds))
+    lines = local_rows(spark, ", ".join(f"{key} string" for key, _ in kinds), rows)
+    lines = lines.select(*(F.col(key).cast(kind) for key, kind in kinds))
     lines.coalesce(1).write.mode("errorifexists").parquet(f"{path}/map/version={version}")
-    return load_layout(spark, path, version)
+    return Layout(path, version, entries)
 
 
 def map_fingerprint(lines: DataFrame) -> DataFrame:

@@ -28,9 +28,19 @@ class Layout:
 
     path: str
     version: int
-    count: int
-    rows: int
-    held: dict[int, int]
+    entries: dict[int, dict]
+
+    @property
+    def count(self) -> int:
+        return next(iter(self.entries.values()))["buckets"]
+
+    @property
+    def rows(self) -> int:
+        return sum(entry["rows"] for entry in self.entries.values())
+
+    @property
+    def held(self) -> dict[int, int]:
+        return {bucket: entry["held"] for bucket, entry in self.entries.items()}
 
 
 def bucket_of(count: int) -> Column:
@@ -51,14 +61,8 @@ def read_maps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_layout(spark: SparkSession, path: str, version: int) -> Layout:
-    entries = read_map(spark, path, version).select("bucket", "buckets", "held", "rows").collect()
-    return Layout(
-        path,
-        version,
-        max(entry["buckets"] for entry in entries),
-        sum(entry["rows"] for entry in entries),
-        {entry["bucket"]: entry["held"] for entry in entries},
-    )
+    entries = read_map(spark, path, version).collect()
+    return Layout(path, version, {entry["bucket"]: entry.asDict() for entry in entries})
 
 
 def touched(layout: Layout, rows: DataFrame) -> set[int]:
@@ -69,7 +73,6 @@ def touched(layout: Layout, rows: DataFrame) -> set[int]:
 
 def read_buckets(spark: SparkSession, layout: Layout, numbers: Iterable[int] | None = None) -> DataFrame:
     """Rows of some buckets, or of all; only their files are listed and read."""
-    wanted = layout.held if numbers is None else {*numbers, COLUMNS_ONLY} & layout.held.keys()
-    return spark.read.parquet(
-        *(f"{layout.path}/data/version={layout.held[n]}/bucket={n}" for n in sorted(wanted))
-    )
+    held = layout.held
+    wanted = held if numbers is None else {*numbers, COLUMNS_ONLY} & held.keys()
+    return spark.read.parquet(*(f"{layout.path}/data/version={held[n]}/bucket={n}" for n in sorted(wanted)))

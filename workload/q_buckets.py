@@ -12,7 +12,7 @@ from tillclose.sources import buckets as S
 from workload.base import part, query
 from workload.feed import ITEM, feed
 
-BUCKETS = 256
+BUCKETS = 64
 #: The second batch comes in three deliveries, the last of them small.
 FIRST, LAST = "1999-01-01", "2001-10-31"
 SALE_TEXT = "concat_ws(chr(1), source_system, store_id, sale_id)"
