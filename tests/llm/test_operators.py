@@ -100,6 +100,31 @@ def test_substring(docs, empty):
     assert substring.remove_repeats(empty).count() == 0
 
 
+def test_substring_ids_of_several_texts(spark):
+    def text(name, size=30):
+        return " ".join(f"{name}{i}" for i in range(size))
+
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (2, text("b")), (5, text("c") + " " + text("d"))]
+    rows += [(None, text("d")), (None, text("e")), (None, text("f") + " " + text("e")), (None, None), (None, "")]
+    rows += [(None, text(f"n{i}") + " " + text("shared", 25)) for i in range(40)]
+    rows += [(9, text(f"m{i}", 19 + i) + " " + text("shared", 25)) for i in range(4)] + [(5, text("e", 22))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    keys = {(r.doc_id, r.text): r.p for r in docs.selectExpr("*", "xxhash64(coalesce(text, '')) AS p").collect()}
+    first = {}
+    for d, t in sorted(keys, key=lambda x: (order(x[0]), keys[x])):
+        for i in range(len(words(t)) - 19):
+            first.setdefault(tuple(words(t)[i : i + 20]), (d, t, i))
+    expected = Counter()
+    for d, t in rows:
+        w = words(t)
+        late = [i for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] != (d, t, i)]
+        gone = {j for i in late for j in range(i, i + 20)}
+        expected[d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)] += 1
+    found = Counter(tuple(r) for r in substring.remove_repeats(docs).collect())
+    assert found == expected
+    assert (2, 30, 30, "") in found and found[2, 30, 0, text("b")] == 2
+
+
 def brute_components(rows):
     sets = {}
     for d, t in rows:
@@ -173,6 +198,10 @@ def test_bpe(docs, empty, monkeypatch):
     own = bpe.codec(RANKS, public_tokenizers.PATTERN)
     for name, size in (("LEAF_CHARS", 16), ("LEAF_BYTES", 8), ("LEAF_TOKENS", 8)):
         monkeypatch.setattr(bpe, name, size)
+    check_bpe(own, library)
+
+
+def check_bpe(own, library):
     rng = random.Random(1)
     parts = ["a", "the", "ing", " ", "  ", "\n", "'s", "'", "1", "23", "é", "中", "!", "<|endoftext|>", "\x1c", "²", "😀"]
     cases = ["".join(rng.choice(parts) for _ in range(rng.randrange(120))) for _ in range(400)]
@@ -182,6 +211,23 @@ def test_bpe(docs, empty, monkeypatch):
         assert own.decode(own.encode(text)).decode() == text
 
 
+def test_bpe_by_its_own_merges(monkeypatch):
+    """No size at which the tree and the merges are not the operator's own: the library is only compared."""
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={}
+    )
+    own = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    check_bpe(own, library)
+    rng = random.Random(3)
+    long = ["".join(rng.choice("ab-") for _ in range(5000)), "=" * 20001, "xyz" * 7000, "中文字" * 3000, "é" * 4097]
+    for text in long:
+        assert own.encode(text) == library.encode_ordinary(text)
+    for size in (1, 2, 7):
+        for name in ("LEAF_CHARS", "LEAF_BYTES", "LEAF_TOKENS"):
+            monkeypatch.setattr(bpe, name, size)
+        check_bpe(bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN), library)
+
+
 def test_token_counts(docs, empty):
     library = Tokenizer.from_file(JSON)
 
