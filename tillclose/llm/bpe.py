@@ -1,14 +1,19 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-A text is encoded by halves. Leaves are encoded directly; a join re-encodes a window around the cut,
-grown until the tokens outside it cannot change, and concatenates:
+Every text is encoded by halves, down to leaves of ``LEAF_CHARS`` characters; a join re-encodes a window
+around the cut, grown until the tokens outside it cannot change, and concatenates:
 
 - *Between pieces of the pattern.* No match of the pattern spans a change from a non-space character
-  to a blank, or from a letter (digit) to anything but a letter (digit). The window grows to the next
-  such places on both sides; what lies outside was split, and therefore encoded, as in the whole text.
-- *Inside one very long piece.* A token sequence is the encoding of its bytes exactly if every pair of
-  neighbours is the encoding of the pair's bytes. The window grows by tokens, doubling, until the
-  pairs at its two edges hold; all other pairs come from encodings of parts.
+  to a blank, or from a letter (digit) to anything but a letter (digit). The cut moves from the middle
+  to the nearest such place: what lies on either side is split, and therefore encoded, as in the whole
+  text, so the window at this cut is empty. A stretch without such a place is one leaf.
+- *Inside a piece,* which is halved in turn, down to vocabulary entries or ``LEAF_BYTES`` bytes. A token
+  sequence is the encoding of its bytes exactly if every pair of neighbours is the encoding of the
+  pair's bytes. The window grows by tokens, doubling, until the pairs at its two edges hold; all other
+  pairs come from encodings of parts.
+
+Leaves and windows are merged here by rank, lowest first, leftmost among equals; no tokenizer library
+takes part. Pieces repeat, so a worker remembers the tokens of short ones, up to ``_REMEMBERED``.
 
 Decoding concatenates the bytes of tokens up the same kind of tree. The vocabulary is a parameter: a
 file of ranks in tiktoken's format and the pattern that splits text. Texts are independent, so Spark
@@ -22,17 +27,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 
 from tillclose.llm import text as tx
 
-LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS = 2048, 128, 4096
+LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS = 96, 16, 64
+_REMEMBERED, _SHORT, _FEW = 1 << 19, 64, 128
 _BLANKS = " \n\t\r"
 _LETTER, _DIGIT = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
 
@@ -46,38 +52,107 @@ class Codec:
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.leaf: Callable[[str], list[int]] = library.encode_ordinary
-        self._piece = library._encode_single_piece
+        self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self._split = regex.compile(pattern)
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._pieces: dict[str, list[int]] = {}
+
+    def merged(self, data: bytes) -> list[int]:
+        """Tokens of bytes inside one piece, by merging neighbours; a vocabulary entry stands for itself."""
+        known = self.ranks.get(data)
+        if known is not None:
+            return [known]
+        return self._merged_few(data) if len(data) <= _FEW else self._merged_many(data)
+
+    def _merged_few(self, data: bytes) -> list[int]:
+        """By rescanning all pairs for the lowest rank."""
+        rank, none = self.ranks.get, len(self.bytes_of)
+        parts = [data[x : x + 1] for x in range(len(data))]
+        pairs = [rank(data[x : x + 2], none) for x in range(len(data) - 1)]
+        while pairs and (low := min(pairs)) < none:
+            at = pairs.index(low)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+        return [self.ranks[x] for x in parts]
+
+    def _merged_many(self, data: bytes) -> list[int]:
+        """By a queue of pairs, in proportion to the length up to a logarithm."""
+        ranks, end = self.ranks, len(data)
+        # Each part is known by its first byte: where it ends and where the part before it begins.
+        stop, back = list(range(1, end + 1)), list(range(-1, end - 1))
+        queue = [(ranks[pair], at, at + 2) for at in range(end - 1) if (pair := data[at : at + 2]) in ranks]
+        heapq.heapify(queue)
+        while queue:
+            _, at, to = heapq.heappop(queue)
+            middle = stop[at]
+            # Outdated if either part has been merged since: it is gone, or the pair ends elsewhere.
+            if not at < middle < end or stop[middle] != to:
+                continue
+            stop[at], stop[middle] = to, 0
+            if to < end:
+                back[to] = at
+                rank = ranks.get(data[at : stop[to]])
+                if rank is not None:
+                    heapq.heappush(queue, (rank, at, stop[to]))
+            before = back[at]
+            if before >= 0:
+                rank = ranks.get(data[before:to])
+                if rank is not None:
+                    heapq.heappush(queue, (rank, before, to))
+        out, at = [], 0
+        while at < end:
+            out.append(ranks[data[at : stop[at]]])
+            at = stop[at]
+        return out
 
     def holds(self, left: int, right: int) -> bool:
         """Whether two tokens stay as they are next to each other inside a piece."""
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) > 1 << 20:
+            if len(self._pairs) > _REMEMBERED:
                 self._pairs.clear()
-            known = self._piece(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
             self._pairs[left, right] = known
         return known
 
     def piece(self, data: bytes) -> list[int]:
-        """Tokens of one match of the pattern."""
+        """Tokens of one match of the pattern, or of a part of it."""
+        known = self.ranks.get(data)
+        if known is not None:
+            return [known]
         if len(data) <= LEAF_BYTES:
-            return self._piece(data)
-        half = len(data) // 2
+            return self.merged(data)
+        # Cut at a power of two, so that runs of one character are cut where their tokens end.
+        half = 1 << (len(data) - 1).bit_length() - 1
         left, right, size = self.piece(data[:half]), self.piece(data[half:]), 1
         while True:
             low, high = max(len(left) - size, 0), min(size, len(right))
-            window = self._piece(b"".join(self.bytes_of[x] for x in (*left[low:], *right[:high])))
+            window = self.merged(b"".join(self.bytes_of[x] for x in (*left[low:], *right[:high])))
             if (not low or self.holds(left[low - 1], window[0])) and (
                 high == len(right) or self.holds(window[-1], right[high])
             ):
                 return left[:low] + window + right[high:]
             size *= 2
 
+    def leaf(self, text: str) -> list[int]:
+        """Tokens of a stretch of text, piece by piece."""
+        out, pieces = [], self._pieces
+        for match in self._split.findall(text):
+            known = pieces.get(match)
+            if known is None:
+                known = self.piece(match.encode())
+                if len(match) <= _SHORT:
+                    if len(pieces) >= _REMEMBERED:
+                        pieces.clear()
+                    pieces[match] = known
+            out += known
+        return out
+
     @staticmethod
     def stable(text: str, at: int) -> bool:
         """Whether no match of the pattern can span this place."""
@@ -89,15 +164,15 @@ class Codec:
                 return not kind.match(after)
         return False
 
-    def _edges(self, text: str, low: int, high: int, middle: int) -> tuple[int, int]:
-        """The nearest stable places at or around the middle, or the ends of the range."""
-        left = middle
-        while left > low and not self.stable(text, left):
-            left -= 1
-        right = max(middle, left + 1) if left == middle else middle
-        while right < high and not self.stable(text, right):
-            right += 1
-        return left, right
+    def _cut(self, text: str, low: int, high: int) -> int | None:
+        """The stable place inside the range that is nearest to its middle, if there is one."""
+        middle = (low + high) // 2
+        for step in range(middle - low + 1):
+            if middle - step > low and self.stable(text, middle - step):
+                return middle - step
+            if middle + step < high and middle + step > low and self.stable(text, middle + step):
+                return middle + step
+        return None
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
@@ -106,16 +181,10 @@ class Codec:
     def _encode(self, text: str, low: int, high: int) -> list[int]:
         if high - low <= LEAF_CHARS:
             return self.leaf(text[low:high])
-        middle = (low + high) // 2
-        left, right = self._edges(text, low, high, middle)
-        if right - left > LEAF_CHARS:
-            # One long run without a stable place: its pieces are reduced on their own.
-            run = [x for m in self._split.finditer(text[left:right]) for x in self.piece(m[0].encode())]
-            before = self._encode(text, low, left) if left > low else []
-            return before + run + (self._encode(text, right, high) if right < high else [])
-        one, two = self._encode(text, low, middle), self._encode(text, middle, high)
-        drop_one, drop_two = len(self.leaf(text[left:middle])), len(self.leaf(text[middle:right]))
-        return one[: len(one) - drop_one] + self.leaf(text[left:right]) + two[drop_two:]
+        cut = self._cut(text, low, high)
+        if cut is None:
+            return self.leaf(text[low:high])
+        return self._encode(text, low, cut) + self._encode(text, cut, high)
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of a token sequence, concatenated up the tree."""
