@@ -13,7 +13,8 @@ around the cut, grown until the tokens outside it cannot change, and concatenate
   pairs come from encodings of parts.
 
 Leaves and windows are merged here by rank, lowest first, leftmost among equals; no tokenizer library
-takes part. Pieces repeat, so a worker remembers the tokens of short ones, up to ``_REMEMBERED``.
+takes part. Pieces repeat: a chunk of texts gives its new pieces to numpy, which merges the leaves of all
+of them at once, one merge of each a round, and a worker remembers the tokens of up to ``_REMEMBERED``.
 
 Decoding concatenates the bytes of tokens up the same kind of tree. The vocabulary is a parameter: a
 file of ranks in tiktoken's format and the pattern that splits text. Texts are independent, so Spark
@@ -29,6 +30,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ from pyspark.sql import DataFrame
 
 from tillclose.llm import text as tx
 
-LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS = 96, 16, 64
-_REMEMBERED, _SHORT, _FEW = 1 << 19, 64, 128
+LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS = 128, 16, 64
+_REMEMBERED, _FEW, _NEAR, _NONE = 1 << 19, 128, 32, 1 << 40
 _BLANKS = " \n\t\r"
 _LETTER, _DIGIT = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
 
@@ -57,6 +59,60 @@ class Codec:
         self._split = regex.compile(pattern)
         self._pairs: dict[tuple[int, int], bool] = {}
         self._pieces: dict[str, list[int]] = {}
+        # Every way in which two entries make a third, as a sorted key and what they make.
+        size = self._size = max(self.bytes_of) + 1
+        made = [
+            (left * size + right, rank)
+            for token, rank in ranks.items()
+            for at in range(1, len(token))
+            if (left := ranks.get(token[:at])) is not None and (right := ranks.get(token[at:])) is not None
+        ]
+        self._joins, self._made = np.array(sorted(made) or [(-1, _NONE)], np.int64).T
+        self._byte = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What pairs of tokens make, or ``_NONE``."""
+        key = left * self._size + right
+        at = np.minimum(np.searchsorted(self._joins, key), len(self._joins) - 1)
+        return np.where(self._joins[at] == key, self._made[at], _NONE)
+
+    def _merged_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """``merged`` of many short pieces that are not in the vocabulary."""
+        if not pieces:
+            return []
+        sizes = np.array([len(x) for x in pieces])
+        own = np.repeat(np.arange(len(pieces)), sizes)
+        tokens = self._byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        makes = np.full(len(tokens), _NONE)
+        inner = np.flatnonzero(own[1:] == own[:-1])
+        makes[inner] = self._joined(tokens[inner], tokens[inner + 1])
+        done = []
+        while len(tokens):
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            lowest = np.repeat(np.minimum.reduceat(makes, starts), np.diff(np.r_[starts, len(own)]))
+            ready = lowest == _NONE
+            done.append((own[ready], tokens[ready]))
+            own, tokens, makes, lowest = own[~ready], tokens[~ready], makes[~ready], lowest[~ready]
+            if not len(tokens):
+                break
+            # The leftmost of the lowest pairs of each piece becomes one token.
+            at = np.flatnonzero(makes == lowest)
+            at = at[np.r_[True, own[at][1:] != own[at][:-1]]]
+            tokens[at] = makes[at]
+            stay = np.ones(len(tokens), bool)
+            stay[at + 1] = False
+            own, tokens, makes = own[stay], tokens[stay], makes[stay]
+            at -= np.arange(len(at))
+            changed = np.r_[at, at[at > 0] - 1]
+            makes[changed] = _NONE
+            changed = changed[changed + 1 < len(own)]
+            changed = changed[own[changed] == own[changed + 1]]
+            makes[changed] = self._joined(tokens[changed], tokens[changed + 1])
+        own, tokens = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(own, kind="stable")
+        ends = np.cumsum(np.bincount(own, minlength=len(pieces))).tolist()
+        tokens = tokens[order].tolist()
+        return [tokens[a:b] for a, b in zip([0, *ends], ends)]
 
     def merged(self, data: bytes) -> list[int]:
         """Tokens of bytes inside one piece, by merging neighbours; a vocabulary entry stands for itself."""
@@ -139,19 +195,20 @@ class Codec:
                 return left[:low] + window + right[high:]
             size *= 2
 
-    def leaf(self, text: str) -> list[int]:
-        """Tokens of a stretch of text, piece by piece."""
-        out, pieces = [], self._pieces
-        for match in self._split.findall(text):
-            known = pieces.get(match)
-            if known is None:
-                known = self.piece(match.encode())
-                if len(match) <= _SHORT:
-                    if len(pieces) >= _REMEMBERED:
-                        pieces.clear()
-                    pieces[match] = known
-            out += known
-        return out
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the tokens of pieces; what was remembered may go first."""
+        known = self._pieces
+        if len(known) > _REMEMBERED:
+            known.clear()
+        short, data = [], []
+        for piece in pieces:
+            raw = piece.encode()
+            if len(raw) <= LEAF_BYTES and raw not in self.ranks:
+                short.append(piece)
+                data.append(raw)
+            else:
+                known[piece] = self.piece(raw)
+        known.update(zip(short, self._merged_all(data), strict=True))
 
     @staticmethod
     def stable(text: str, at: int) -> bool:
@@ -165,8 +222,12 @@ class Codec:
         return False
 
     def _cut(self, text: str, low: int, high: int) -> int | None:
-        """The stable place inside the range that is nearest to its middle, if there is one."""
+        """A stable place inside the range near its middle, or the nearest, if there is any."""
         middle = (low + high) // 2
+        # Most cuts are at a blank close by.
+        at = text.find(" ", max(middle, low + 1), min(middle + _NEAR, high))
+        if at > 0 and self.stable(text, at):
+            return at
         for step in range(middle - low + 1):
             if middle - step > low and self.stable(text, middle - step):
                 return middle - step
@@ -174,17 +235,30 @@ class Codec:
                 return middle + step
         return None
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole texts."""
+        split: list[list[str]] = []
+        for text in texts:
+            split.append([])
+            self._reduce(text, 0, len(text), split[-1])
+        kept = len(self._pieces) <= _REMEMBERED
+        new = set(chain.from_iterable(split))
+        self.learn(new.difference(self._pieces) if kept else new)
+        known = self._pieces.__getitem__
+        return [list(chain.from_iterable(map(known, pieces))) for pieces in split]
+
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
-        return self._encode(text, 0, len(text))
+        return self.encode_all([text])[0]
 
-    def _encode(self, text: str, low: int, high: int) -> list[int]:
-        if high - low <= LEAF_CHARS:
-            return self.leaf(text[low:high])
-        cut = self._cut(text, low, high)
+    def _reduce(self, text: str, low: int, high: int, out: list[str]) -> None:
+        """The pieces of a range, by halves and from left to right."""
+        cut = self._cut(text, low, high) if high - low > LEAF_CHARS else None
         if cut is None:
-            return self.leaf(text[low:high])
-        return self._encode(text, low, cut) + self._encode(text, cut, high)
+            out += self._split.findall(text[low:high])
+            return
+        self._reduce(text, low, cut, out)
+        self._reduce(text, cut, high, out)
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of a token sequence, concatenated up the tree."""
@@ -213,7 +287,8 @@ def _with(chunk: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     own = codec(path, pattern)
     for chunk in tx.chunks(batches):
-        ids = [np.array(own.encode(x or ""), np.int32) for x in chunk.column("text").to_pylist()]
+        texts = [x or "" for x in chunk.column("text").to_pylist()]
+        ids = [np.array(x, np.int32) for x in own.encode_all(texts)]
         ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         values = pa.array(np.concatenate(ids)) if ids else pa.array([], pa.int32())
         yield _with(chunk, ids=pa.ListArray.from_arrays(pa.array(ends), values))
