@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tillclose.operators import gold as G
 from tillclose.operators import revisions as R
 from workload.base import part, query
-from workload.feed import ITEM, batches, half_up, money
+from workload.feed import GOLD_COLUMNS, ITEM, batches, half_up, money, published, stored
 
 REVISION = f"{ITEM}, revision"
 FLAGS = ["is_conflict", "is_duplicate", "is_stale", "is_new", "max_revision"]
@@ -59,11 +59,9 @@ def revision_counts(spark, folder):
 
 
 def _changes(spark, folder):
-    """State before the second batch, and the lines it takes away and brings."""
-    previous, incoming = batches(spark, folder)
-    history = R.eligible_history(None, previous)
-    before = R.current_state(history)
-    return before, R.signed_changes(before, R.new_history_rows(history, incoming))
+    """State before the second batch, and the lines it takes away and brings, each written once."""
+    before, added = published(spark, folder, GOLD_COLUMNS)
+    return before, stored(R.signed_changes(before, added), "changes")
 
 
 NET = f"{money('net_cents')} AS net_revenue_brl"
