@@ -36,3 +36,32 @@ def test_published_rows_are_read_from_where_they_were_written(spark):
     for rows in W.published(spark, FOLDER, W.GOLD_COLUMNS):
         assert exchanges(rows) == 0
         assert set(rows.columns) == {*W.REVISION_KEY, *W.GOLD_COLUMNS}
+
+
+def test_references_are_tables_of_known_size(spark):
+    from workload import q_rows
+
+    files = q_rows.checked(spark, FOLDER).inputFiles()
+    for name in ("files", "stores", "products"):
+        assert any(f"/{name}-" in file for file in files)
+
+
+def test_compared_rows_do_not_move_to_meet_days_and_stores(spark):
+    from workload import q_profile
+
+    rows = plan(q_profile.scope_totals(spark, FOLDER))
+    assert "hashpartitioning(business_date" not in rows and "hashpartitioning(store_id#" not in rows
+
+
+def test_long_generated_methods_are_left_to_the_expressions(spark):
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_exported_events_are_stored_compressed_and_once(spark, folder):
+    from tillclose.sinks import tables as T
+
+    events = spark.sql("SELECT 'r' AS run_id, kind, 'x' AS state, '' AS event_time FROM VALUES ('start'), ('terminal') AS t(kind)")
+    T.write_lineage_events(events.filter("kind = 'start'"), folder)
+    T.write_lineage_events(events, folder)
+    assert T.read_exported_events(spark, folder).count() == 2
+    assert any(name.endswith(".json.gz") for name in os.listdir(f"{folder}/lineage"))

@@ -278,7 +278,10 @@ def lineage_events(attempts: DataFrame, publications: DataFrame) -> DataFrame:
     state = F.col("state")
     # A publication belongs to the event only where the state proves it.
     proved = (state == "NO_CHANGE") | ((state == "PUBLISHED") & (F.col("_run") == F.col("run_id")))
-    joined = attempts.join(official, "publication_id", "left").withColumn(
+    # Attempts without a publication would all meet in one task, so each goes by its own run.
+    unmatched = F.concat(F.lit("\u0000"), "run_id")
+    keyed = attempts.withColumn("_key", F.coalesce("publication_id", unmatched))
+    joined = keyed.join(official.withColumnRenamed("publication_id", "_key"), "_key", "left").withColumn(
         "_proved", F.coalesce(proved & F.col("_run").isNotNull(), F.lit(False))
     )
     terminal_types = F.create_map(*(F.lit(v) for pair in TERMINAL_TYPES.items() for v in pair))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tillclose.operators import audit as A
 from tillclose.operators import lineage as L
 from workload.base import part, query
-from workload.feed import product_day, state, store_day, table
+from workload.feed import product_day, state, store_day, stored, table
 from workload.q_report import attempts
 
 ABSENT = "event_id % 1009 = 500"
@@ -271,15 +271,14 @@ def lineage_frame(spark, folder):
 
 
 def digests(spark, folder):
-    return L.event_digest(lineage_frame(spark, folder))
+    """Key and digest of every event, built once."""
+    return stored(L.event_digest(lineage_frame(spark, folder)).select("run_id", "kind", "digest"), "digests")
 
 
-def exported(spark, folder):
+def exported(events):
     """Events already written: all but some, and a few that say something else."""
-    number = F.conv(F.substring("digest", 1, 4), 16, 10).cast("int")
     return (
-        digests(spark, folder)
-        .filter(~(F.col("run_id").endswith("7") & (F.col("kind") == "terminal")))
+        events.filter(~(F.col("run_id").endswith("7") & (F.col("kind") == "terminal")))
         .withColumn(
             "digest",
             F.when(F.col("run_id").endswith("a"), F.lit("0" * 64)).otherwise(F.col("digest")),
@@ -304,7 +303,8 @@ part(
     "SELECT * FROM event_keys WHERE right(run_id, 1) = '7' AND kind = 'terminal'",
 )
 def missing_lineage_events(spark, folder):
-    found = L.missing_lineage_events(digests(spark, folder), exported(spark, folder))
+    events = digests(spark, folder)
+    found = L.missing_lineage_events(events, exported(events))
     return found.select("run_id", "kind")
 
 
@@ -314,7 +314,8 @@ def missing_lineage_events(spark, folder):
     "SELECT * FROM event_keys WHERE right(run_id, 1) = 'a'",
 )
 def diverging_lineage_events(spark, folder):
-    found = L.diverging_lineage_events(digests(spark, folder), exported(spark, folder))
+    events = digests(spark, folder)
+    found = L.diverging_lineage_events(events, exported(events))
     return found.select("run_id", "kind")
 
 
