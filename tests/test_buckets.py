@@ -103,3 +103,21 @@ def test_held_versions_are_kept(spark, folder):
     loose = audit.unreferenced_versions(TB.read_registry(spark, folder), held.unionByName(named))
     assert [x.version for x in loose.collect()] == [1]
     assert W.next_version(spark, folder, "silver") == 3
+
+
+def test_a_version_is_computed_once(spark, folder):
+    # The digests are taken on the way to the files, so what is written is evaluated once.
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(before, rows):
+        def pass_on(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        whole = R.resolve_state(before, rows)
+        return whole.mapInArrow(pass_on, whole.schema)
+
+    rows = spark.createDataFrame(many(0, 20), COLUMNS)
+    layout = B.advance_buckets(spark, folder, "silver", "run-0", None, rows, lambda before: counted(before, rows))
+    assert seen.value == layout.rows

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tillclose.functions.digest import digest_slice, row_text, text_digest
 from tillclose.operators.audit import table_fingerprint
 from tillclose.session import local_rows
 from tillclose.sinks.tables import next_version, register_version
@@ -33,6 +34,13 @@ def _count_for(rows: int, least: int, rows_per_bucket: int) -> int:
     return count
 
 
+def _whole_print(columns: list[str]) -> list[Column]:
+    """The figures of ``table_fingerprint`` over a whole table, as sums that are taken on the way to its files."""
+    text = text_digest(row_text(columns))
+    digests = (F.coalesce(F.sum(digest_slice(text, start)), F.lit(0)) for start in (1, 16))
+    return [F.count(F.lit(1)).alias("rows"), *(x.cast("decimal(38,0)").alias(f"digest_{i}") for i, x in enumerate(digests, 1))]
+
+
 def advance_buckets(
     spark: SparkSession,
     root: str,
@@ -50,7 +58,7 @@ def advance_buckets(
     ``advance`` gets the rows of the buckets that ``delivered`` touches (None for the first version) and returns
     what they become; a row may not leave its sale. When the buckets hold twice ``rows_per_bucket`` on average
     their number doubles and this version writes them all. What was written is read back and must have the
-    digests of what was meant, bucket by bucket. A hot bucket is written by several tasks. ``numbers`` are
+    digests of what was meant, taken while it is written, with every row in its bucket. A hot bucket is written by several tasks. ``numbers`` are
     the touched buckets where the caller knows them already.
     """
     if least_buckets & (least_buckets - 1):
@@ -68,16 +76,15 @@ def advance_buckets(
     after = advance(before)
     marked = after.select(*sorted(after.columns), bucket_of(count).alias("bucket"))
     data = f"{path}/data/version={version}"
-    marked.hint("rebalance", "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(data)
-    stored = spark.read.schema(marked.schema).parquet(data)
-    both = marked.withColumn("_meant", F.lit(True)).unionByName(stored.withColumn("_meant", F.lit(False)))
-    prints = {True: {}, False: {}}
-    for row in table_fingerprint(both, "_meant", "bucket").collect():
-        entry = row.asDict()
-        prints[entry.pop("_meant")][row["bucket"]] = entry
-    if prints[True] != prints[False]:
+    meant = Observation()
+    placed = marked.hint("rebalance", "bucket").observe(meant, *_whole_print(marked.columns[:-1]))
+    placed.write.mode("errorifexists").partitionBy("bucket").parquet(data)
+    found = spark.read.schema(marked.schema).parquet(data)
+    prints = {row["bucket"]: row.asDict() for row in table_fingerprint(found, "bucket").collect()}
+    told = {key: sum(entry[key] for entry in prints.values()) for key in ("rows", "digest_1", "digest_2")}
+    if told != meant.get or not found.filter(F.col("bucket") != bucket_of(count)).isEmpty():
         raise ValueError(f"the stored buckets of {name} differ from what was to be stored")
-    entries = {n: {**entry, "buckets": count, "held": version} for n, entry in prints[False].items()}
+    entries = {n: {**entry, "buckets": count, "held": version} for n, entry in prints.items()}
     if whole:
         # Written beside the others, so that a table without rows still has columns.
         marked.drop("bucket").limit(0).write.mode("errorifexists").parquet(f"{data}/bucket={COLUMNS_ONLY}")

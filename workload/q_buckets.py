@@ -15,6 +15,7 @@ from workload.feed import ITEM, feed
 BUCKETS = 64
 #: The second batch comes in three deliveries, the last of them small.
 FIRST, LAST = "1999-01-01", "2001-10-31"
+COLUMNS = [*ITEM.split(", "), "revision", "operation", "product_id", "business_date", "quantity", "payload_hash"]
 SALE_TEXT = "concat_ws(chr(1), source_system, store_id, sale_id)"
 
 part(
@@ -38,7 +39,9 @@ def _layouts(spark, folder):
         .when(F.col("business_date") <= F.lit(LAST).cast("date"), 2)
         .otherwise(3)
     )
-    feed(spark, folder).withColumn("delivery", number).write.partitionBy("delivery").parquet(f"{root}/feed")
+    # Every version keeps its files, so the rows hold what the queries tell of them and no more.
+    rows = feed(spark, folder).withColumn("delivery", number).select(*COLUMNS, *R.ARRIVAL, "delivery")
+    rows.write.partitionBy("delivery").parquet(f"{root}/feed")
     found, layout = [], None
     for delivery in range(4):
         rows = spark.read.parquet(f"{root}/feed/delivery={delivery}")
@@ -56,9 +59,7 @@ def _layouts(spark, folder):
     f"SELECT {ITEM}, revision, operation, product_id, business_date, quantity, payload_hash FROM state",
 )
 def advance_state_buckets(spark, folder):
-    return S.read_buckets(spark, _layouts(spark, folder)[-1]).select(
-        *ITEM.split(", "), "revision", "operation", "product_id", "business_date", "quantity", "payload_hash"
-    )
+    return S.read_buckets(spark, _layouts(spark, folder)[-1]).select(*COLUMNS)
 
 
 @query(
