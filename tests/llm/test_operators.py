@@ -176,6 +176,15 @@ def test_jaccard_counts_a_repeated_row_once(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows)
 
 
+def test_jaccard_leaders_of_a_family(spark):
+    # 40 classes share 30 tiles: the first leader is the one with the fewest rarer shingles, later ones differ by tile.
+    rows = [(s, d, 100, s + (0 if d == 17 else 3), 16, d) for s in range(30) for d in range(40)]
+    known = spark.createDataFrame(rows, "shingle long, doc_id long, n long, rank long, band long, component long")
+    first, later = (jaccard._leader_pairs(known, turn).toPandas() for turn in (0, 1))
+    assert set(first["a"]) == {17} and len(first) == 39
+    assert later["a"].nunique() > 10
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard.near_duplicates(empty).count() == 0
 

@@ -11,10 +11,11 @@ Two documents link when ``100 * |A n B| >= 75 * |A u B|`` for their sets of word
    shingles; a tile is one shingle in one band and the band below.
    Of shingles that the same classes post, only the one that comes first in their order stays: it has
    the same tiles and the widest bound.
-4. Leader rounds: in a tile everyone of another component meets one leader, a different one in each
-   round. Pairs whose parity bitmaps differ in more bits than two linked sets can differ in elements
-   are dropped; of the rest one per class is verified in a round, by intersecting sorted arrays. Connected
-   components follow.
+4. Leader rounds: in a tile everyone of another component meets one leader. The first leader is the class
+   with the fewest rarer shingles, which is the nearest to the middle of a family; later ones are drawn in each
+   tile anew, so a class of many tiles meets as many leaders. Pairs whose parity bitmaps differ in more bits
+   than two linked sets can differ in elements are dropped; of the rest one per class is verified in a round,
+   by intersecting sorted arrays. Connected components follow, until a round finds no link.
 5. Last round: all pairs of *different* components of a tile that are left; position and bitmap bounds
    drop most in the tile, the rest are verified. A family of thousands of near copies is one component
    by then and costs nothing, while no link between components can be missed.
@@ -47,7 +48,7 @@ TILE = 4096
 _BUCKET_BYTES, _LEAST_BUCKETS = 16 << 20, 64
 _HASH_BITS = 48
 _LEAST_SIGN, _MOST_SIGN = 16, 1024
-_LEADER_ROUNDS = 2
+_LEADER_ROUNDS = 3
 
 
 def row_sets(chunk: pa.RecordBatch, width: int) -> list[np.ndarray]:
@@ -374,8 +375,12 @@ def _known(postings: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 
 def _leader_pairs(known: DataFrame, turn: int) -> DataFrame:
-    """Everyone (``b``) of a tile with one leader (``a``) of the tile's band and another component."""
-    order = F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "n", "component")
+    """Everyone (``b``) of a tile with one leader (``a``) of the tile's band and another component.
+
+    A leader drawn alike in all tiles would be the same in all tiles of a family: most would meet but one.
+    """
+    first = F.lit(0) if turn else F.col("rank")
+    order = F.struct(first.alias("first"), F.xxhash64("doc_id", "shingle", F.lit(turn)), "doc_id", "n", "component")
     leaders = known.groupBy("shingle", F.col("band").alias("tile")).agg(F.min(order).alias("leader"))
     met = _tiles(known).join(leaders, ["shingle", "tile"]).filter("component <> leader.component")
     met = met.filter("4 * least(n, leader.n) >= 3 * greatest(n, leader.n)")
@@ -465,6 +470,8 @@ def members(docs: DataFrame, width: int = WIDTH, tile: int = TILE) -> DataFrame:
         found = written(_linked(pairs, sets), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
+        if parts is not None and found.isEmpty():
+            break
         parts = written(components(links), "parts")
     pairs = written(_untried(_last_pairs(_known(postings, parts), sets, tile), tried), "pairs")
     links = links.unionByName(written(_linked(pairs, sets), "links"))
