@@ -176,6 +176,21 @@ def test_jaccard_counts_a_repeated_row_once(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(rows)
 
 
+def test_bpe_of_a_chunk_is_gathered_from_arrays(monkeypatch):
+    monkeypatch.setattr(bpe, "LEAF_TOKENS", 3)
+    own = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    texts = ["", "Unwhertz unwhertz 12345678 ", "", "\u00fcberßheit" * 9, "Unwhertz \U0001f600\n\n x", ""]
+    for limit in (0, bpe._REMEMBERED):
+        monkeypatch.setattr(bpe, "_REMEMBERED", limit)
+        ids, ends = own.encode_all(texts)
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [own.encode(x) for x in texts]
+        data, cuts = own.decode_all(*own.encode_all(texts))
+        assert [data[a:b].tobytes().decode() for a, b in zip(cuts[:-1], cuts[1:])] == texts
+    # A remembered piece is a place in the arrays, not a list of its own.
+    assert all(type(x) is int for x in own._pieces.values())
+    assert [x.tolist() for x in own.encode_all([])] == [[], [0]]
+
+
 def test_jaccard_leaders_of_a_family(spark):
     # 40 classes share 30 tiles: the first leader is the one with the fewest rarer shingles, later ones differ by tile.
     rows = [(s, d, 100, s + (0 if d == 17 else 3), 16, d) for s in range(30) for d in range(40)]

@@ -16,7 +16,8 @@ Leaves and windows are merged here by rank, lowest first, leftmost among equals;
 takes part. Pieces repeat: a chunk of texts gives its new pieces to numpy, which merges the leaves of all
 of them at once, one merge of each a round, and a worker remembers the tokens of up to ``_REMEMBERED``.
 
-Decoding concatenates the bytes of tokens up the same kind of tree. The vocabulary is a parameter: a
+Tokens of pieces and bytes of tokens lie in one array each; the ids of a chunk are gathered from those at once, and
+decoding gathers the bytes of ``LEAF_TOKENS`` tokens at a time and concatenates them. The vocabulary is a parameter: a
 file of ranks in tiktoken's format and the pattern that splits text. Texts are independent, so Spark
 spreads the rows; each task holds one bounded chunk of them.
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 
 from tillclose.llm import text as tx
 
-LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS = 128, 16, 64
+LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS = 128, 16, 1 << 16
 _REMEMBERED, _FEW, _NEAR, _NONE = 1 << 19, 128, 32, 1 << 40
 _BLANKS = " \n\t\r"
 _LETTER, _DIGIT = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
@@ -58,7 +59,9 @@ class Codec:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self._split = regex.compile(pattern)
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, list[int]] = {}
+        # Where the tokens of a remembered piece begin and how many they are, in one array for all pieces.
+        self._pieces: dict[str, int] = {}
+        self._forget()
         # Every way in which two entries make a third, as a sorted key and what they make.
         size = self._size = max(self.bytes_of) + 1
         made = [
@@ -69,6 +72,15 @@ class Codec:
         ]
         self._joins, self._made = np.array(sorted(made) or [(-1, _NONE)], np.int64).T
         self._byte = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
+        # The bytes of all tokens, one after the other.
+        tokens = [self.bytes_of.get(x, b"") for x in range(size)]
+        self._text = np.frombuffer(b"".join(tokens), np.uint8)
+        self._sizes = np.array([len(x) for x in tokens])
+        self._starts = np.cumsum(self._sizes) - self._sizes
+
+    def _forget(self) -> None:
+        self._pieces.clear()
+        self._held, self._values, self._ends = 0, np.zeros(1 << 10, np.int32), np.zeros(1, np.int64)
 
     def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """What pairs of tokens make, or ``_NONE``."""
@@ -76,10 +88,10 @@ class Codec:
         at = np.minimum(np.searchsorted(self._joins, key), len(self._joins) - 1)
         return np.where(self._joins[at] == key, self._made[at], _NONE)
 
-    def _merged_all(self, pieces: list[bytes]) -> list[list[int]]:
-        """``merged`` of many short pieces that are not in the vocabulary."""
+    def _merged_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``merged`` of many short pieces that are not in the vocabulary: all tokens, and how many each has."""
         if not pieces:
-            return []
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         sizes = np.array([len(x) for x in pieces])
         own = np.repeat(np.arange(len(pieces)), sizes)
         tokens = self._byte[np.frombuffer(b"".join(pieces), np.uint8)]
@@ -110,9 +122,7 @@ class Codec:
             makes[changed] = self._joined(tokens[changed], tokens[changed + 1])
         own, tokens = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(own, kind="stable")
-        ends = np.cumsum(np.bincount(own, minlength=len(pieces))).tolist()
-        tokens = tokens[order].tolist()
-        return [tokens[a:b] for a, b in zip([0, *ends], ends)]
+        return tokens[order].astype(np.int32), np.bincount(own, minlength=len(pieces))
 
     def merged(self, data: bytes) -> list[int]:
         """Tokens of bytes inside one piece, by merging neighbours; a vocabulary entry stands for itself."""
@@ -197,18 +207,27 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Remember the tokens of pieces; what was remembered may go first."""
-        known = self._pieces
-        if len(known) > _REMEMBERED:
-            known.clear()
-        short, data = [], []
+        if len(self._pieces) > _REMEMBERED:
+            self._forget()
+        short, short_data, other, other_tokens = [], [], [], []
         for piece in pieces:
             raw = piece.encode()
             if len(raw) <= LEAF_BYTES and raw not in self.ranks:
                 short.append(piece)
-                data.append(raw)
+                short_data.append(raw)
             else:
-                known[piece] = self.piece(raw)
-        known.update(zip(short, self._merged_all(data), strict=True))
+                other.append(piece)
+                other_tokens.append(self.piece(raw))
+        values, sizes = self._merged_all(short_data)
+        values = np.concatenate([values, np.fromiter(chain.from_iterable(other_tokens), np.int32)])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, other_tokens), np.int64, len(other))])
+        self._pieces.update(zip(chain(short, other), range(len(self._pieces), len(self._pieces) + len(sizes))))
+        end = self._held + len(values)
+        if end > len(self._values):
+            self._values = np.concatenate([self._values[: self._held], np.zeros(2 * end - self._held, np.int32)])
+        self._values[self._held : end] = values
+        self._ends = np.concatenate([self._ends, self._held + np.cumsum(sizes)])
+        self._held = end
 
     @staticmethod
     def stable(text: str, at: int) -> bool:
@@ -235,21 +254,23 @@ class Codec:
                 return middle + step
         return None
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts."""
-        split: list[list[str]] = []
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, one text after the other, and where each begins, with the end of the last."""
+        pieces: list[str] = []
+        ends = [0]
         for text in texts:
-            split.append([])
-            self._reduce(text, 0, len(text), split[-1])
+            self._reduce(text, 0, len(text), pieces)
+            ends.append(len(pieces))
         kept = len(self._pieces) <= _REMEMBERED
-        new = set(chain.from_iterable(split))
+        new = set(pieces)
         self.learn(new.difference(self._pieces) if kept else new)
-        known = self._pieces.__getitem__
-        return [list(chain.from_iterable(map(known, pieces))) for pieces in split]
+        own = np.fromiter(map(self._pieces.__getitem__, pieces), np.int64, len(pieces))
+        starts, sizes = self._ends[own], self._ends[own + 1] - self._ends[own]
+        return gathered(self._values, starts, sizes), np.r_[0, np.cumsum(sizes)][ends]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
     def _reduce(self, text: str, low: int, high: int, out: list[str]) -> None:
         """The pieces of a range, by halves and from left to right."""
@@ -260,12 +281,26 @@ class Codec:
         self._reduce(text, low, cut, out)
         self._reduce(text, cut, high, out)
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of token sequences that begin and end at ``ends``, and where those of each begin and end."""
+        sizes = self._sizes[ids]
+        # By leaves, so that the places to gather from stay few.
+        cuts = range(LEAF_TOKENS, len(ids), LEAF_TOKENS)
+        leaves = zip(np.split(self._starts[ids], cuts), np.split(sizes, cuts), strict=True)
+        data = np.concatenate([gathered(self._text, *leaf) for leaf in leaves])
+        return data, np.r_[0, np.cumsum(sizes)][ends]
+
     def decode(self, ids: list[int]) -> bytes:
-        """Bytes of a token sequence, concatenated up the tree."""
-        if len(ids) <= LEAF_TOKENS:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        """Bytes of a token sequence."""
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0].tobytes()
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` with these starts and sizes, one after the other."""
+    ends = np.cumsum(sizes)
+    at = np.repeat((starts - ends + sizes).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return values[at]
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -287,17 +322,18 @@ def _with(chunk: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     own = codec(path, pattern)
     for chunk in tx.chunks(batches):
-        texts = [x or "" for x in chunk.column("text").to_pylist()]
-        ids = [np.array(x, np.int32) for x in own.encode_all(texts)]
-        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        values = pa.array(np.concatenate(ids)) if ids else pa.array([], pa.int32())
-        yield _with(chunk, ids=pa.ListArray.from_arrays(pa.array(ends), values))
+        values, ends = own.encode_all([x or "" for x in chunk.column("text").to_pylist()])
+        yield _with(chunk, ids=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     own = codec(path, pattern)
     for batch in batches:
-        yield _with(batch, decoded=pa.array([own.decode(x) for x in batch.column("ids").to_pylist()], pa.binary()))
+        ids = batch.column("ids")
+        ends = np.asarray(ids.offsets)
+        data, ends = own.decode_all(np.asarray(ids.values)[ends[0] : ends[-1]], ends - ends[0])
+        buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]
+        yield _with(batch, decoded=pa.Array.from_buffers(pa.binary(), batch.num_rows, buffers))
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
