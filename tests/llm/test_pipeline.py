@@ -73,3 +73,16 @@ def test_links_of_each_text_of_a_null_or_repeated_id(spark):
     found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     expected = [(1, 1), (1, 1), (2, 1), (3, 1), (None, None), (None, None), (4, None), (5, 5), (7, None), (6, 5)]
     assert sorted(map(repr, ((r.doc_id, r.component_id) for r in found))) == sorted(map(repr, expected))
+
+
+def test_texts_go_to_tasks_by_bytes(spark):
+    import pyarrow as pa
+
+    docs = spark.range(0, 24, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 200000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    found = [r.size for r in docs.mapInArrow(sizes, "size long").collect()]
+    assert sum(found) > 24_000_000 and max(found) < 10_000_000
