@@ -4,9 +4,12 @@ empty tables and further columns."""
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -23,6 +26,7 @@ from tillclose.llm import (
     substring,
     token_counts,
 )
+from tillclose.llm import text as tx
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -191,6 +195,44 @@ def test_bpe_of_a_chunk_is_gathered_from_arrays(monkeypatch):
     assert [x.tolist() for x in own.encode_all([])] == [[], [0]]
 
 
+def long_chunk(size):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(VOCABULARY) + str(rng.randrange(999)) for _ in range(400)) for _ in range(100)]
+    texts = [texts[i % 100] + f" {i}" for i in range(size // len(texts[0]))]
+    columns = [pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text"])
+
+
+def test_sets_of_a_chunk_take_few_times_its_bytes(monkeypatch):
+    chunk = long_chunk(tx.CHUNK_BYTES)
+    jaccard.row_sets(chunk.slice(0, 2), 5)  # tables that a worker makes once
+    tracemalloc.start()
+    try:
+        sets = jaccard.row_sets(chunk, 5)
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(sets) == chunk.num_rows
+    assert peak - kept < 7 * tx.CHUNK_BYTES
+    # The steps change no set, also if every row, or the whole chunk, is one.
+    for size in (1, 1 << 30):
+        monkeypatch.setattr(tx, "STEP_BYTES", size)
+        assert all(np.array_equal(a, b) for a, b in zip(sets, jaccard.row_sets(chunk, 5), strict=True))
+    assert jaccard.row_sets(chunk.slice(0, 0), 5) == []
+
+
+def test_a_worker_encodes_and_scans_a_step_at_a_time():
+    chunk = long_chunk(2 * tx.CHUNK_BYTES)
+    size = sum(map(len, chunk.column("text").to_pylist()))
+    found = list(bpe._encoded(iter([chunk]), RANKS, public_tokenizers.PATTERN))
+    assert len(found) >= size >> 20
+    assert [x for b in found for x in b.column("doc_id").to_pylist()] == list(range(chunk.num_rows))
+    own = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    texts = chunk.column("text").to_pylist()
+    ids = [x for b in found for x in b.column("ids").to_pylist()]
+    assert all(ids[i] == own.encode(texts[i]) for i in range(0, len(texts), 97))
+
+
 def test_jaccard_leaders_of_a_family(spark):
     # 40 classes share 30 tiles: the first leader is the one with the fewest rarer shingles, later ones differ by tile.
     rows = [(s, d, 100, s + (0 if d == 17 else 3), 16, d) for s in range(30) for d in range(40)]

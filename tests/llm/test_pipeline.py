@@ -86,3 +86,18 @@ def test_texts_go_to_tasks_by_bytes(spark):
 
     found = [r.size for r in docs.mapInArrow(sizes, "size long").collect()]
     assert sum(found) > 24_000_000 and max(found) < 10_000_000
+
+
+def test_a_batch_of_texts_is_no_longer_than_a_chunk(spark):
+    import pyarrow as pa
+
+    from tillclose.llm import text as tx
+
+    docs = spark.range(0, 24, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 100000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    found = [r.size for r in docs.mapInArrow(sizes, "size long").collect()]
+    assert sum(found) > 12_000_000 and max(found) < tx.CHUNK_BYTES + 1_000_000

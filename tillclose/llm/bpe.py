@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from tillclose.llm import text as tx
 
 LEAF_CHARS, LEAF_BYTES, LEAF_TOKENS = 128, 16, 1 << 16
-_REMEMBERED, _FEW, _NEAR, _NONE = 1 << 19, 128, 32, 1 << 40
+_REMEMBERED, _FEW, _NEAR, _NONE = 1 << 18, 128, 32, 1 << 40
 _BLANKS = " \n\t\r"
 _LETTER, _DIGIT = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
 
@@ -321,7 +321,7 @@ def _with(chunk: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     own = codec(path, pattern)
-    for chunk in tx.chunks(batches):
+    for chunk in tx.chunks(batches, limit=tx.STEP_BYTES):
         values, ends = own.encode_all([x or "" for x in chunk.column("text").to_pylist()])
         yield _with(chunk, ids=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)))
 

@@ -137,7 +137,7 @@ def _scan(bitmap: np.ndarray, short: list[int]) -> Callable:
         def passes(places: np.ndarray) -> np.ndarray:
             return (bits[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
 
-        for chunk in tx.chunks(batches):
+        for chunk in tx.chunks(batches, limit=tx.STEP_BYTES):
             words = _words(chunk.column("text"))
             found, places = [], []
             for number, (_, mask) in enumerate(masks(short)):

@@ -53,6 +53,10 @@ _LEADER_ROUNDS = 3
 
 def row_sets(chunk: pa.RecordBatch, width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row of a chunk."""
+    return [own for step in tx.chunks([chunk], limit=tx.STEP_BYTES) for own in _step_sets(step, width)]
+
+
+def _step_sets(chunk: pa.RecordBatch, width: int) -> list[np.ndarray]:
     words = tx.Words(*tx.buffers(chunk.column("text")), lower=True)
     hashes, at = words.windows(width)
     row = words.doc[at]
@@ -178,9 +182,16 @@ def _frequent(buckets: int) -> Callable:
         top = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(64 - bits)
         docs = np.concatenate([tx.unpack(x).view(np.int64) for x in table.column("docs").to_pylist()])
         raw = b"".join(table.column("hashes").to_pylist())
-        hashes = top | (tx.unpack_raw(raw, 6) << np.uint64(64 - _HASH_BITS) >> np.uint64(bits))
+        # In place: a bucket is the most a worker holds here.
+        hashes = tx.unpack_raw(raw, 6)
+        hashes <<= np.uint64(64 - _HASH_BITS)
+        hashes >>= np.uint64(bits)
+        hashes |= top
+        del raw
         order = np.argsort(hashes, kind="stable")
-        same = hashes[order][1:] == hashes[order][:-1]
+        ordered = hashes[order]
+        same = ordered[1:] == ordered[:-1]
+        del ordered
         order = order[np.r_[False, same] | np.r_[same, False]]
         docs, hashes = docs[order], hashes[order]
         order = np.lexsort((docs, hashes))

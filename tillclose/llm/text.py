@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 4 << 20
+#: What arrays of words and pieces are made of at once: they take many times its bytes, and a worker keeps its peak.
+STEP_BYTES = 1 << 20
 _SEGMENT = 1 << 20
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
