@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tillclose.functions.digest import digest_slice, row_text, text_digest
 from tillclose.operators.audit import table_fingerprint
-from tillclose.session import local_rows
+from tillclose.schemas import ITEM_KEY
+from tillclose.session import local_rows, shuffles_removed, write_table
 from tillclose.sinks.tables import next_version, register_version
 from tillclose.sources.buckets import (
     BUCKET_MAP,
@@ -25,6 +26,10 @@ from tillclose.sources.buckets import (
 ROWS_PER_BUCKET = 4_000_000
 #: Bounds of the number of buckets, and so of the map that the driver reads.
 LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 16
+#: So many tasks write a bucket that is hot, where the rows are dealt by ``placement``.
+SLOTS = 8
+#: Positions of the filter that keeps rows both versions have from being compared whole: 2 MB.
+FILTER_BITS = 1 << 24
 
 
 def _count_for(rows: int, least: int, rows_per_bucket: int) -> int:
@@ -34,6 +39,11 @@ def _count_for(rows: int, least: int, rows_per_bucket: int) -> int:
     return count
 
 
+def placement(count: int) -> dict[str, Column]:
+    """Where a row goes: its bucket, and one of several parts of it that its item is told by."""
+    return {"bucket": bucket_of(count), "_slot": F.pmod(F.xxhash64(*ITEM_KEY), F.lit(SLOTS)).cast("int")}
+
+
 def _whole_print(columns: list[str]) -> list[Column]:
     """The figures of ``table_fingerprint`` over a whole table, as sums that are taken on the way to its files."""
     text = text_digest(row_text(columns))
@@ -48,10 +58,11 @@ def advance_buckets(
     run_id: str,
     layout: Layout | None,
     delivered: DataFrame,
-    advance: Callable[[DataFrame | None], DataFrame],
+    advance: Callable[..., DataFrame],
     least_buckets: int = LEAST_BUCKETS,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     numbers: set[int] | None = None,
+    placed: bool = False,
 ) -> Layout:
     """A new version of a table after a delivery.
 
@@ -59,8 +70,19 @@ def advance_buckets(
     what they become; a row may not leave its sale. When the buckets hold twice ``rows_per_bucket`` on average
     their number doubles and this version writes them all. What was written is read back and must have the
     digests of what was meant, taken while it is written, with every row in its bucket. A hot bucket is written by several tasks. ``numbers`` are
-    the touched buckets where the caller knows them already.
+    the touched buckets where the caller knows them already. With ``placed``, ``advance`` also gets the columns of
+    ``placement`` and returns rows that carry them and are dealt by them, as ``resolve_state`` does: they are not
+    shuffled again on the way to their files.
     """
+    with shuffles_removed(spark):
+        return _advance(
+            spark, root, name, run_id, layout, delivered, advance, least_buckets, rows_per_bucket, numbers, placed
+        )
+
+
+def _advance(
+    spark, root, name, run_id, layout, delivered, advance, least_buckets, rows_per_bucket, numbers, placed
+) -> Layout:
     if least_buckets & (least_buckets - 1):
         raise ValueError("the number of buckets is a power of two")
     version, path = next_version(spark, root, name), f"{root}/tables/{name}"
@@ -73,12 +95,18 @@ def advance_buckets(
         if numbers is None and not whole:
             numbers = touched(layout, delivered)
         before = read_buckets(spark, layout, None if whole else numbers)
-    after = advance(before)
-    marked = after.select(*sorted(after.columns), bucket_of(count).alias("bucket"))
+    if placed:
+        where = placement(count)
+        after = advance(before, where)
+        columns = sorted(x for x in after.columns if x not in where)
+        marked = after.select(*columns, "bucket")
+    else:
+        after = advance(before)
+        columns = sorted(after.columns)
+        marked = after.select(*columns, bucket_of(count).alias("bucket")).hint("rebalance", "bucket")
     data = f"{path}/data/version={version}"
     meant = Observation()
-    placed = marked.hint("rebalance", "bucket").observe(meant, *_whole_print(marked.columns[:-1]))
-    placed.write.mode("errorifexists").partitionBy("bucket").parquet(data)
+    write_table(marked.observe(meant, *_whole_print(columns)), data, "bucket")
     found = spark.read.schema(marked.schema).parquet(data)
     prints = {row["bucket"]: row.asDict() for row in table_fingerprint(found, "bucket").collect()}
     told = {key: sum(entry[key] for entry in prints.values()) for key in ("rows", "digest_1", "digest_2")}
@@ -87,7 +115,7 @@ def advance_buckets(
     entries = {n: {**entry, "buckets": count, "held": version} for n, entry in prints.items()}
     if whole:
         # Written beside the others, so that a table without rows still has columns.
-        marked.drop("bucket").limit(0).write.mode("errorifexists").parquet(f"{data}/bucket={COLUMNS_ONLY}")
+        found.drop("bucket").limit(0).write.mode("errorifexists").parquet(f"{data}/bucket={COLUMNS_ONLY}")
         nothing = dict.fromkeys(("rows", "digest_1", "digest_2"), 0)
         entries[COLUMNS_ONLY] = {"bucket": COLUMNS_ONLY, "buckets": count, "held": version, **nothing}
     else:
@@ -120,14 +148,44 @@ def differing_buckets(spark: SparkSession, one: Layout, two: Layout) -> set[int]
 def version_differences(spark: SparkSession, expected: Layout, stored: Layout) -> DataFrame:
     """Rows that only one of two versions has, with ``side`` (missing, unexpected), copies included.
 
-    Only buckets whose digests differ are read; all of them if the number of buckets differs.
+    Only buckets whose digests differ are read; all of them if the number of buckets differs. Of those, what
+    travels is a hash of each row; rows are compared whole only where the hashes do not cancel out.
     """
     numbers = differing_buckets(spark, expected, stored) if expected.count == stored.count else None
     one, two = (read_buckets(spark, x, numbers) for x in (expected, stored))
     columns = sorted(one.columns)
     one, two = one.select(*columns), two.select(*columns)
+    one, two = _without_common(one, two)
     return (
         one.exceptAll(two)
         .withColumn("side", F.lit("missing"))
         .unionByName(two.exceptAll(one).withColumn("side", F.lit("unexpected")))
     )
+
+
+def _without_common(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both without most of what they share: every row that one has more often than the other stays, on both sides.
+
+    Rows with the same hash cancel out if they are as many on either side and a second hash agrees. The positions of
+    the others make a filter of 2 MB; rows that meet a position by chance stay too.
+    """
+    spark = one.sparkSession
+    # Nulls leave a hash as it was, so which columns are null is hashed as well.
+    content = [F.col(name) for name in one.columns] + [F.col(name).isNull() for name in one.columns]
+    first, second = F.xxhash64(*content), F.xxhash64(F.lit("second"), *content)
+    sides = (rows.select(first.alias("h"), second.alias("g"), F.lit(sign).alias("n")) for rows, sign in ((one, 1), (two, -1)))
+    with shuffles_removed(spark):
+        odd = DataFrame.unionByName(*sides).groupBy("h").agg(F.sum("n").alias("n"), F.bit_xor("g").alias("g"))
+        words = odd.filter("n <> 0 OR g <> 0").select(F.expr(f"pmod(h, {FILTER_BITS})").alias("at"))
+        words = words.groupBy(F.expr("cast(at div 8 as int)").alias("byte")).agg(
+            F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("bits")
+        )
+        found = words.collect()
+    filled = bytearray(FILTER_BITS // 8)
+    for row in found:
+        filled[row["byte"]] = row["bits"]
+    bits = spark.createDataFrame([(filled,)], "bits binary").scalar()
+    at = F.pmod(first, F.lit(FILTER_BITS))
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    stays = F.getbit(byte, (at % 8).cast("int")) == 1
+    return one.filter(stays), two.filter(stays)

@@ -40,14 +40,14 @@ def _layouts(spark, folder):
         .otherwise(3)
     )
     # Every version keeps its files, so the rows hold what the queries tell of them and no more.
-    rows = feed(spark, folder).withColumn("delivery", number).select(*COLUMNS, *R.ARRIVAL, "delivery")
-    rows.write.partitionBy("delivery").parquet(f"{root}/feed")
+    # Deliveries are told from the given tables alone, so each shuffles its own narrow rows and none is stored.
+    whole = feed(spark, folder).withColumn("delivery", number)
     found, layout = [], None
     for delivery in range(4):
-        rows = spark.read.parquet(f"{root}/feed/delivery={delivery}")
+        rows = whole.filter(F.col("delivery") == delivery).select(*COLUMNS, *R.ARRIVAL)
         layout = B.advance_buckets(
             spark, root, "silver", f"run-{delivery}", layout, rows,
-            lambda before, rows=rows: R.resolve_state(before, rows), BUCKETS,
+            lambda before, where, rows=rows: R.resolve_state(before, rows, where), BUCKETS, placed=True,
         )
         found.append(layout)
     return found
