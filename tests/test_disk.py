@@ -8,6 +8,7 @@ import pytest
 from tests.test_buckets import content, deliver, many
 from tests.test_increments import COLUMNS, row
 from tillclose import session
+from tillclose.functions import positions
 from tillclose.functions.digest import packed, unpacked
 from tillclose.operators import revisions as R
 from tillclose.sinks import buckets as B
@@ -82,7 +83,7 @@ def test_tables_are_written_with_zstd(spark, folder):
 
 @pytest.mark.parametrize("bits", [8, 1 << 24])
 def test_only_rows_that_may_differ_are_compared(spark, monkeypatch, bits):
-    monkeypatch.setattr(B, "FILTER_BITS", bits)
+    monkeypatch.setattr(positions, "FILTER_BITS", bits)
     kinds = "k int, v string, w string"
     common = [(n, "c", None) for n in range(40)]
     one = spark.createDataFrame([*common, (1, "a", None), (1, "a", None), (2, None, "x"), (7, "z", "z"), (7, "z", "z")], kinds)
@@ -94,3 +95,19 @@ def test_only_rows_that_may_differ_are_compared(spark, monkeypatch, bits):
         assert left.count() == 3 and right.count() == 3
     nothing, neither = B._without_common(one, one)
     assert nothing.count() == neither.count() == 0
+
+
+def test_events_are_exported_whole_in_part_or_not_at_all(spark, folder):
+    from tillclose.sinks import tables as T
+
+    names = "run_id string, kind string, state string, event_time string"
+    events = spark.createDataFrame([(f"r{n}", kind, f"s{n}", "t") for n in range(40) for kind in ("start", "terminal")], names)
+    before = shuffle_files(spark)
+    parts = ["kind = 'start' AND run_id < 'r2'", "kind = 'start'", "kind = 'start' OR run_id = 'r7'", "true", "true"]
+    for part in parts:
+        T.write_lineage_events(events.filter(part), folder)
+        found = T.read_exported_events(spark, folder)
+        assert content(found.select("run_id", "kind")) == content(events.filter(part).select("run_id", "kind"))
+    with pytest.raises(ValueError):
+        T.write_lineage_events(events.withColumn("state", B.F.lit("other")), folder)
+    assert left_behind(spark, before) == set()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillclose.functions.contract import SHA256, instant, matches
+from tillclose.functions.digest import packed
 from tillclose.schemas import TABLE_TYPES, TERMINAL_TYPES
 from tillclose.session import cut
 
@@ -361,6 +362,18 @@ def event_digest(events: DataFrame) -> DataFrame:
     return events.withColumn("digest", F.sha2(F.to_json(F.struct(*content)), 256))
 
 
+def export_status(events: DataFrame, exported: DataFrame) -> DataFrame:
+    """Per kind of event: how many are ``missing`` in the export, ``exported``, and exported otherwise (``diverging``).
+    Only keys and digests move."""
+    known = exported.select("run_id", "kind", packed(F.col("digest")).alias("_digest"), F.lit(True).alias("_known"))
+    rows = events.select("run_id", "kind", packed(F.col("digest")).alias("digest"))
+    return rows.join(known, ["run_id", "kind"], "left").groupBy("kind").agg(
+        F.count_if(F.col("_known").isNull()).alias("missing"),
+        F.count("_known").alias("exported"),
+        F.count_if(F.col("digest") != F.col("_digest")).alias("diverging"),
+    )
+
+
 def missing_lineage_events(events: DataFrame, exported: DataFrame) -> DataFrame:
     """Events not exported yet."""
     return events.join(exported.select("run_id", "kind"), ["run_id", "kind"], "left_anti")

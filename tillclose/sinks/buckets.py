@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillclose.functions.digest import digest_slice, row_text, text_digest
+from tillclose.functions.positions import position_filter
 from tillclose.operators.audit import table_fingerprint
 from tillclose.schemas import ITEM_KEY
 from tillclose.session import local_rows, shuffles_removed, write_table
@@ -28,8 +29,6 @@ ROWS_PER_BUCKET = 4_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 16
 #: So many tasks write a bucket that is hot, where the rows are dealt by ``placement``.
 SLOTS = 8
-#: Positions of the filter that keeps rows both versions have from being compared whole: 2 MB.
-FILTER_BITS = 1 << 24
 
 
 def _count_for(rows: int, least: int, rows_per_bucket: int) -> int:
@@ -169,23 +168,11 @@ def _without_common(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFram
     Rows with the same hash cancel out if they are as many on either side and a second hash agrees. The positions of
     the others make a filter of 2 MB; rows that meet a position by chance stay too.
     """
-    spark = one.sparkSession
     # Nulls leave a hash as it was, so which columns are null is hashed as well.
     content = [F.col(name) for name in one.columns] + [F.col(name).isNull() for name in one.columns]
     first, second = F.xxhash64(*content), F.xxhash64(F.lit("second"), *content)
     sides = (rows.select(first.alias("h"), second.alias("g"), F.lit(sign).alias("n")) for rows, sign in ((one, 1), (two, -1)))
-    with shuffles_removed(spark):
+    with shuffles_removed(one.sparkSession):
         odd = DataFrame.unionByName(*sides).groupBy("h").agg(F.sum("n").alias("n"), F.bit_xor("g").alias("g"))
-        words = odd.filter("n <> 0 OR g <> 0").select(F.expr(f"pmod(h, {FILTER_BITS})").alias("at"))
-        words = words.groupBy(F.expr("cast(at div 8 as int)").alias("byte")).agg(
-            F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("bits")
-        )
-        found = words.collect()
-    filled = bytearray(FILTER_BITS // 8)
-    for row in found:
-        filled[row["byte"]] = row["bits"]
-    bits = spark.createDataFrame([(filled,)], "bits binary").scalar()
-    at = F.pmod(first, F.lit(FILTER_BITS))
-    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    stays = F.getbit(byte, (at % 8).cast("int")) == 1
-    return one.filter(stays), two.filter(stays)
+        may_differ = position_filter(odd.filter("n <> 0 OR g <> 0").select("h"))(first)
+    return one.filter(may_differ), two.filter(may_differ)
