@@ -97,6 +97,18 @@ def test_only_rows_that_may_differ_are_compared(spark, monkeypatch, bits):
     assert nothing.count() == neither.count() == 0
 
 
+def test_a_delivery_is_classified_by_packed_payloads(spark):
+    old, new = many(0, 20) + [row("a", "1", 1, payload="ab" * 32)], [row("a", "1", 1, payload=x * 32) for x in ("ab", "cd", "cd")]
+    previous, incoming = (spark.createDataFrame(x, COLUMNS) for x in (old, new))
+    before = shuffle_files(spark)
+    facts = R.revision_facts(previous, incoming)
+    assert left_behind(spark, before) == set()
+    rows = R.classified(incoming, facts)
+    assert "[0-9a-f]{64}" in plan(rows)
+    found = sorted((x.payload_hash[:2], x.is_conflict, x.is_duplicate, x.is_new) for x in rows.collect())
+    assert found == [("ab", True, True, False), ("cd", True, True, False), ("cd", True, True, False)]
+
+
 def test_events_are_exported_whole_in_part_or_not_at_all(spark, folder):
     from tillclose.sinks import tables as T
 
