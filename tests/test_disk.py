@@ -109,6 +109,24 @@ def test_a_delivery_is_classified_by_packed_payloads(spark):
     assert found == [("ab", True, True, False), ("cd", True, True, False), ("cd", True, True, False)]
 
 
+@needs_tables
+def test_rows_travel_to_their_products_as_numbers(spark):
+    from workload import q_rows
+
+    rows = plan(q_rows.checked(spark, FOLDER))
+    below = rows.split("LeftOuter")[1] if "LeftOuter" in rows else rows
+    assert "unit_price_brl" not in below and "source_updated_at" not in below
+
+
+def test_bronze_is_compressed_and_its_shuffles_end(spark, folder):
+    from tillclose.sinks import tables as T
+
+    before = shuffle_files(spark)
+    path = T.write_bronze(spark.range(50).groupBy("id").count().repartition(3, "id"), folder)
+    assert left_behind(spark, before) == set()
+    assert any(x.endswith(".zstd.parquet") for x in os.listdir(path))
+
+
 def test_events_are_exported_whole_in_part_or_not_at_all(spark, folder):
     from tillclose.sinks import tables as T
 
