@@ -118,6 +118,15 @@ def test_rows_travel_to_their_products_as_numbers(spark):
     assert "unit_price_brl" not in below and "source_updated_at" not in below
 
 
+@needs_tables
+def test_numbers_of_delivered_rows_are_stored(spark):
+    from workload import q_files
+
+    before = shuffle_files(spark)
+    q_files.delivered(spark, FOLDER)
+    assert left_behind(spark, before) == set()
+
+
 def test_bronze_is_compressed_and_its_shuffles_end(spark, folder):
     from tillclose.sinks import tables as T
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillclose.schemas import BUSINESS_FIELDS, DOCUMENT_VERSION
+from tillclose.session import shuffles_removed
 from tillclose.sources.delivery import file_inventory, read_delivery_csv
 
 # Keeps a file well below the 64 MiB a delivery file may have.
@@ -22,17 +23,18 @@ def write_delivery(rows: DataFrame, folder: str, store: str = "store_id") -> Non
     named = rows.select(
         *BUSINESS_FIELDS, F.col("batch_id").alias("delivery"), F.col(store).alias("store")
     )
-    (
-        named.hint("rebalance", "delivery", "store")
-        .write.mode("errorifexists")
-        .partitionBy("delivery", "store")
-        .option("header", "true")
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", "false")
-        .option("ignoreTrailingWhiteSpace", "false")
-        .option("maxRecordsPerFile", ROWS_PER_FILE)
-        .csv(folder)
-    )
+    with shuffles_removed(rows.sparkSession):
+        (
+            named.hint("rebalance", "delivery", "store")
+            .write.mode("errorifexists")
+            .partitionBy("delivery", "store")
+            .option("header", "true")
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", "false")
+            .option("ignoreTrailingWhiteSpace", "false")
+            .option("maxRecordsPerFile", ROWS_PER_FILE)
+            .csv(folder)
+        )
 
 
 def delivered_files(spark, folder: str) -> DataFrame:
